@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from .binary import op4_bitplane_tokens
+from .bpe import op6_transducer_bpe
 from .packing import op3_pack_histogram
 
-QUERIES = {f.__name__: f for f in (op3_pack_histogram, op4_bitplane_tokens)}
+QUERIES = {f.__name__: f for f in (op3_pack_histogram, op4_bitplane_tokens, op6_transducer_bpe)}
 ORACLES: dict[str, str] = {}
