@@ -5,6 +5,15 @@ from __future__ import annotations
 from .binary import op4_bitplane_tokens
 from .bpe import op6_transducer_bpe
 from .packing import op3_pack_histogram
+from .quality import OP2_SQL, op2_line_frequency
 
-QUERIES = {f.__name__: f for f in (op3_pack_histogram, op4_bitplane_tokens, op6_transducer_bpe)}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_line_frequency,
+        op3_pack_histogram,
+        op4_bitplane_tokens,
+        op6_transducer_bpe,
+    )
+}
+ORACLES = {"op2_line_frequency": OP2_SQL}
