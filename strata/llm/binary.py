@@ -64,7 +64,7 @@ def unplanes(raw: list[bytes], n: int, kind: str) -> np.ndarray:
 class Writer:
     """Writes one file; ``add`` takes the ids of whole documents in order."""
 
-    def __init__(self, sink, kind: str = "bit", chunk: int = CHUNK):
+    def __init__(self, sink, kind: str = "byte", chunk: int = CHUNK):
         self.sink, self.kind, self.chunk = sink, kind, chunk
         self.zip = zstandard.ZstdCompressor(level=LEVEL)
         self.rest: list[np.ndarray] = []
@@ -162,7 +162,7 @@ def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def write_tokens(docs: DataFrame, folder: str, *, tokenizer: str | None = None, end_id: int = 0, kind: str = "bit", chunk: int = CHUNK, files: int | None = None) -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, *, tokenizer: str | None = None, end_id: int = 0, kind: str = "byte", chunk: int = CHUNK, files: int | None = None) -> DataFrame:
     """Encode ``docs`` (doc_id, text) and write them to ``folder`` in ascending doc_id order, one file
     per range of doc_id.  Returns the manifest: file (ascending with doc_id), path, n_docs, n_ids."""
     spark = docs.sparkSession
