@@ -6,6 +6,7 @@ from .binary import op4_bitplane_tokens
 from .bpe import op6_transducer_bpe
 from .packing import op3_pack_histogram
 from .quality import OP2_SQL, op2_line_frequency
+from .simhash import op5_simhash_variants
 from .substring import OP7_SQL, op7_count_min_substrings
 
 QUERIES = {
@@ -14,6 +15,7 @@ QUERIES = {
         op2_line_frequency,
         op3_pack_histogram,
         op4_bitplane_tokens,
+        op5_simhash_variants,
         op6_transducer_bpe,
         op7_count_min_substrings,
     )
