@@ -6,12 +6,14 @@ from .binary import op4_bitplane_tokens
 from .bpe import op6_transducer_bpe
 from .packing import op3_pack_histogram
 from .quality import OP2_SQL, op2_line_frequency
+from .secrets import op1_structural_secrets
 from .simhash import op5_simhash_variants
 from .substring import OP7_SQL, op7_count_min_substrings
 
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_structural_secrets,
         op2_line_frequency,
         op3_pack_histogram,
         op4_bitplane_tokens,
