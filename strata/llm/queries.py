@@ -5,6 +5,7 @@ from __future__ import annotations
 from .binary import op4_bitplane_tokens
 from .bpe import op6_transducer_bpe
 from .packing import op3_pack_histogram
+from .pii import op10_skip_chain_pii
 from .quality import OP2_SQL, op2_line_frequency
 from .secrets import op1_structural_secrets
 from .simhash import op5_simhash_variants
@@ -20,6 +21,7 @@ QUERIES = {
         op5_simhash_variants,
         op6_transducer_bpe,
         op7_count_min_substrings,
+        op10_skip_chain_pii,
     )
 }
 ORACLES = {"op2_line_frequency": OP2_SQL, "op7_count_min_substrings": OP7_SQL}
