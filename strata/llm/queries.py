@@ -10,6 +10,7 @@ from .quality import OP2_SQL, op2_line_frequency
 from .secrets import op1_structural_secrets
 from .simhash import op5_simhash_variants
 from .substring import OP7_SQL, op7_count_min_substrings
+from .toxicity import op8_clause_toxicity
 
 QUERIES = {
     f.__name__: f
@@ -21,6 +22,7 @@ QUERIES = {
         op5_simhash_variants,
         op6_transducer_bpe,
         op7_count_min_substrings,
+        op8_clause_toxicity,
         op10_skip_chain_pii,
     )
 }
