@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op9_additive_quantisation
 from .binary import op4_bitplane_tokens
 from .bpe import op6_transducer_bpe
 from .packing import op3_pack_histogram
@@ -23,6 +24,7 @@ QUERIES = {
         op6_transducer_bpe,
         op7_count_min_substrings,
         op8_clause_toxicity,
+        op9_additive_quantisation,
         op10_skip_chain_pii,
     )
 }
