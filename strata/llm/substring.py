@@ -50,7 +50,7 @@ def chunked(docs: DataFrame) -> DataFrame:
 
         def packed() -> pa.RecordBatch:
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as w:
                 for b in held:
                     w.write_batch(b)
             return pa.RecordBatch.from_arrays([pa.array([part << 32 | n], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "rows"])
@@ -99,24 +99,44 @@ class Windows:
         self.before = np.append(np.concatenate(before or [np.zeros(0, np.int64)]), base)
 
     def cells(self, row: int, bits: int) -> np.ndarray:
-        return (tx.mix(self.h ^ tx.U64(0xA0761D6478BD642F * (row + 1) & (1 << 64) - 1)) >> tx.U64(64 - bits)).astype(np.uint64)
+        return (tx.mix(self.h ^ tx.U64(0xA0761D6478BD642F * (row + 1) & (1 << 64) - 1)) >> tx.U64(64 - bits)).astype(np.uint32 if bits <= 32 else np.uint64)
 
 
-def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct keys, which of them is each entry's, and which occur more than once."""
-    own, inverse, count = np.unique(keys, return_inverse=True, return_counts=True)
-    return own, inverse, count > 1
-
+def _sorted_once(keys: np.ndarray) -> np.ndarray:
+    s = np.sort(keys)
+    return s[np.flatnonzero(np.append(True, s[1:] != s[:-1]))] if len(s) else s
 
-def _deltas(cells: np.ndarray) -> bytes:
-    """Sorted distinct cells of a slice, as differences in byte planes."""
-    d = np.diff(cells, prepend=0).astype("<u4")
-    return pa.compress(d.view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
 
-
-def _undeltas(raw: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(raw, decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8)
-    return np.cumsum(np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4")[:, 0], dtype=np.int64)
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, which of them is each entry's, and which occur more than once."""
+    order = np.argsort(keys)
+    s = keys[order]
+    new = np.ones(len(s), bool)
+    new[1:] = s[1:] != s[:-1]
+    begin = np.flatnonzero(new)
+    inverse = np.empty(len(s), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return s[begin], inverse, np.diff(np.append(begin, len(s))) > 1
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Unsigned integers as byte planes, each compressed on its own (an empty one: all zero)."""
+    width = values.dtype.itemsize
+    raw = np.ascontiguousarray(values.view(np.uint8).reshape(-1, width).T)
+    parts = [pa.compress(p.tobytes(), codec="zstd", asbytes=True) if p.any() else b"" for p in raw]
+    return np.array([len(values), *map(len, parts)], "<u4").tobytes() + b"".join(parts)
+
+
+def _unplanes(data: bytes, width: int, at: int = 0) -> tuple[np.ndarray, int]:
+    """The integers, and where in ``data`` they end."""
+    n, *sizes = np.frombuffer(data, "<u4", width + 1, at).tolist()
+    at += 4 * (width + 1)
+    out = np.zeros((n, width), np.uint8)
+    for k, size in enumerate(sizes):
+        if size:
+            out[:, k] = np.frombuffer(pa.decompress(data[at : at + size], decompressed_size=n, codec="zstd", asbytes=True), np.uint8)
+        at += size
+    return out.view(f"<u{width}")[:, 0], at
 
 
 def _emit(chunk: int, slices: list[int], values: list[bytes], name: str) -> pa.RecordBatch:
@@ -126,12 +146,13 @@ def _emit(chunk: int, slices: list[int], values: list[bytes], name: str) -> pa.R
 def _sketch_entries(chunk: int, w: Windows, bits: int) -> pa.RecordBatch:
     slices, values = [], []
     for row in range(DEPTH):
-        own = np.unique(w.cells(row, bits))
-        of = (own >> np.uint64(SLICE)).astype(np.int64)
+        own = _sorted_once(w.cells(row, bits))
+        of = (own >> own.dtype.type(SLICE)).astype(np.int64)
         cut = np.flatnonzero(np.diff(of, prepend=-1))
         for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(own)]):
             slices.append(row << bits - SLICE | int(of[a]))
-            values.append((b - a).to_bytes(4, "little") + _deltas((own[a:b] & np.uint64((1 << SLICE) - 1)).astype(np.int64)))
+            inside = own[a:b] & own.dtype.type((1 << SLICE) - 1)
+            values.append(_planes(np.diff(inside, prepend=inside.dtype.type(0)).astype("<u4")))
     return _emit(chunk, slices, values, "entries")
 
 
@@ -150,7 +171,7 @@ def _estimated(w: Windows, answers: list[dict], bits: int) -> np.ndarray:
     out = np.ones(len(w.h), bool)
     for row in range(DEPTH):
         own, inverse, here = _distinct(w.cells(row, bits))
-        of = (own >> np.uint64(SLICE)).astype(np.int64) | row << bits - SLICE
+        of = (own >> own.dtype.type(SLICE)).astype(np.int64) | row << bits - SLICE
         out &= (here | _bits_of(answers, of))[inverse]
     return out
 
@@ -174,7 +195,7 @@ class _Exact:
 
     def entries(self, chunk: int) -> pa.RecordBatch:
         cut = np.flatnonzero(np.diff(self.slice, prepend=-1)).tolist()
-        values = [self.h[a:b].astype("<u8").tobytes() + self.g[a:b].astype("<u4").tobytes() for a, b in zip(cut, [*cut[1:], len(self.h)])]
+        values = [_planes(np.diff(self.h[a:b], prepend=np.uint64(0)).astype("<u8")) + _planes(self.g[a:b].astype("<u4")) for a, b in zip(cut, [*cut[1:], len(self.h)])]
         return _emit(chunk, self.slice[cut].tolist(), values, "entries")
 
     def repeated(self, answers: list[dict]) -> np.ndarray:
@@ -188,7 +209,7 @@ def _answer(table: pa.Table, sizes: list[int], repeated: np.ndarray) -> pa.Table
 
 
 def _merge_cells(table: pa.Table) -> pa.Table:
-    cells = [_undeltas(v[4:], int.from_bytes(v[:4], "little")) for v in table["entries"].to_pylist()]
+    cells = [np.cumsum(_unplanes(v, 4)[0], dtype=np.int64) for v in table["entries"].to_pylist()]
     count = np.bincount(np.concatenate(cells), minlength=1)
     return _answer(table, [*map(len, cells)], np.concatenate([count[c] > 1 for c in cells]))
 
@@ -196,9 +217,9 @@ def _merge_cells(table: pa.Table) -> pa.Table:
 def _merge_hashes(table: pa.Table) -> pa.Table:
     h, g = [], []
     for v in table["entries"].to_pylist():
-        n = len(v) // 12
-        h.append(np.frombuffer(v, "<u8", n))
-        g.append(np.frombuffer(v, "<u4", n, 8 * n))
+        d, at = _unplanes(v, 8)
+        h.append(np.cumsum(d, dtype=np.uint64))
+        g.append(_unplanes(v, 4, at)[0])
     sizes = [*map(len, h)]
     h, g = np.concatenate(h), np.concatenate(g)
     order = np.lexsort((g, h))
