@@ -147,25 +147,29 @@ class PieceCoder:
         h = tx.ROLL.ranges(tx.ROLL.prefix(tx.char_values(block.cps)), start, end)
         entry = self._find(h)
         miss = np.flatnonzero(entry < 0)
+        fits = True
         if len(miss):
-            if self.n + len(miss) > self.most:
+            new, at = np.unique(h[miss], return_index=True)
+            at = miss[at]
+            if self.n + len(new) > self.most:
                 self._clear()
-                miss = np.arange(len(h))
-            new, first = np.unique(h[miss], return_index=True)
-            first = miss[first]
-            s = block.joined
-            self._add(new, [s[a:b] for a, b in zip(start[first].tolist(), end[first].tolist())])
-            entry = self._find(h)
-        size = end - start
-        seen = self.cps[np.minimum(tx.ragged(self.cp_at[entry], size), len(self.cps) - 1)]
-        if not np.array_equal(seen, block.cps[keep]):  # two pieces with one hash: without the table
+                new, at = np.unique(h, return_index=True)
+                fits = len(new) <= self.most
+            if fits:
+                s = block.joined
+                self._add(new, [s[a:b] for a, b in zip(start[at].tolist(), end[at].tolist())])
+                entry = self._find(h)
+        if fits:  # a piece that only shares its hash with the one in the table must not take its ids
+            at = tx.ragged(self.cp_at[entry], end - start)
+            fits = bool((at < len(self.cps)).all()) and np.array_equal(self.cps[at], block.cps[keep])
+        if fits:
+            count = self.id_len[entry]
+            ids = self.ids[tx.ragged(self.id_at[entry], count)]
+        else:
             s = block.joined
             lists = self.encode([s[a:b] for a, b in zip(start.tolist(), end.tolist())])
             count = np.fromiter(map(len, lists), np.int64, len(lists))
             ids = np.fromiter((x for y in lists for x in y), np.uint32, int(count.sum()))
-        else:
-            count = self.id_len[entry]
-            ids = self.ids[tx.ragged(self.id_at[entry], count)]
         upto = np.append(0, np.cumsum(count))
         first = np.append(np.searchsorted(start, block.start), len(start))
         return ids, np.diff(upto[first])
