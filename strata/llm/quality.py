@@ -93,9 +93,12 @@ def _stats(block: tx.Block) -> tuple[list[np.ndarray], pa.Array]:
     return [n_words, word_chars, n_symbols, n_dup, n_repeat], pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pairs)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with the columns that the line statistics go by, named so that they clash with none."""
-    return docs.withColumns({"_host": F.coalesce(F.col("source").cast("string"), F.lit("")), "_key": F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))})
+def _host() -> F.Column:
+    return F.coalesce(F.col("source").cast("string"), F.lit(""))
+
+
+def _text_key() -> F.Column:
+    return F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 def statistics(docs: DataFrame) -> DataFrame:
@@ -108,7 +111,7 @@ def statistics(docs: DataFrame) -> DataFrame:
                 own = [batch.column(k).slice(first, len(block.texts)) for k in range(3)]
                 yield pa.RecordBatch.from_arrays([*own, *(pa.array(x.astype(np.int64)) for x in counts), lines], ["doc_id", "host", "text_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"])
 
-    rows = keyed(docs).select(F.col("doc_id").cast("long"), F.col("_host").alias("host"), F.col("_key").alias("text_key"), F.col("text").cast("string"))
+    rows = docs.select(F.col("doc_id").cast("long"), _host().alias("host"), _text_key().alias("text_key"), F.col("text").cast("string"))
     return scratch.written(rows.mapInArrow(run, STATS), "quality-stats")
 
 
@@ -146,32 +149,33 @@ def verdicts(stats: DataFrame) -> DataFrame:
 def cleaned(docs: DataFrame) -> DataFrame:
     """The documents that are kept, without their boilerplate lines; columns as before (n_chars, where
     there is one, follows the text)."""
+    cols, schema = docs.columns, docs.schema
+    host, key, kept, lines = scratch.fresh(docs, "_host", "_key", "_kept", "_lines")
     found = verdicts(statistics(docs)).filter(~F.col("kept") | F.col("removed_lines").isNotNull())
-    found = found.groupBy(F.col("host").alias("_host"), F.col("text_key").alias("_key")).agg(F.first("kept").alias("_kept"), F.first("removed_lines").alias("_lines"))
+    found = found.groupBy(F.col("host").alias(host), F.col("text_key").alias(key)).agg(F.first("kept").alias(kept), F.first("removed_lines").alias(lines))
     found = scratch.written(found, "quality-verdicts")
-    cols, schema = docs.columns, docs.schema
-    rows = keyed(docs).join(found, ["_host", "_key"], "left").filter(F.coalesce(F.col("_kept"), F.lit(True)))
+    rows = docs.withColumns({host: _host(), key: _text_key()}).join(found, [host, key], "left").filter(F.coalesce(F.col(kept), F.lit(True)))
     at = cols.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, lines in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
+            for text, bad in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
                 block = tx.Block([text])
-                found = Lines(block, block.words())
-                gone = set(found.begin[np.isin(found.hash, lines)].tolist())
-                begins, kept = 0, []
+                has = Lines(block, block.words())
+                gone = set(has.begin[np.isin(has.hash, bad)].tolist())
+                begins, left = 0, []
                 for line in text.split("\n"):
                     if begins not in gone:
-                        kept.append(line)
+                        left.append(line)
                     begins += len(line) + 1
-                texts.append("\n".join(kept))
+                texts.append("\n".join(left))
             out = [batch.column(k) for k in range(len(cols))]
             out[at] = pa.array(texts, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(out, cols)
 
-    whole = rows.filter(F.col("_lines").isNull()).select(*cols)
-    changed = rows.filter(F.col("_lines").isNotNull()).select(*cols, "_lines").mapInArrow(cut, schema)
+    whole = rows.filter(F.col(lines).isNull()).select(*cols)
+    changed = rows.filter(F.col(lines).isNotNull()).select(*cols, lines).mapInArrow(cut, schema)
     if "n_chars" in cols:
         changed = changed.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType))
     return whole.unionByName(changed.select(*cols))

@@ -213,38 +213,35 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of near copies: that with the smallest doc_id.  Where several
-    rows share that id, or a group has no ids at all, the row with the smallest hash of its values."""
-    found = scratch.written(near_duplicates(docs), "simhash-groups")
-    first = found.filter(F.col("doc_id") == F.col("component_id"))
-    ids = first.groupBy("doc_id").agg(F.count("*").alias("n"))
+    rows share that id, or none of the group has one, the row with the smallest hash of its values."""
     cols = docs.columns
-    once = docs.join(ids.filter("n = 1").select("doc_id"), "doc_id", "left_semi").select(*cols)
-    # Ids that repeat, and rows without one: few, if any.
-    again = docs.join(ids.filter("n > 1").select("doc_id"), "doc_id", "left_semi").select(*cols)
-    nameless = docs.filter(F.col("doc_id").isNull())
-    alone = found.filter(F.col("component_id").isNull()).select("fp", "root").distinct()
-    odd = scratch.written(again.unionByName(nameless), "simhash-odd")
-    if odd.isEmpty():
+    found = scratch.written(near_duplicates(docs), "simhash-groups")
+    several = scratch.written(found.groupBy("doc_id").count().filter((F.col("count") > 1) | F.col("doc_id").isNull()).select("doc_id"), "simhash-several")
+    first = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").join(several, "doc_id", "left_anti")
+    once = docs.join(first, "doc_id", "left_semi").select(*cols)
+    if several.isEmpty():
         return once
-    prints = _with_fingerprint(odd)
-    kept = prints.filter(F.col("doc_id").isNotNull()).withColumn("_root", F.col("doc_id"))
-    bare = prints.filter(F.col("doc_id").isNull()).join(alone.select(F.col("fp").alias("_fp"), F.col("root").alias("_root")), "_fp")
-    both = kept.unionByName(bare.select(*kept.columns))
-    order = Window.partitionBy(F.col("doc_id").isNull(), "_root").orderBy(F.xxhash64(*cols), *[F.col(c) for c in ("text",)])
-    return once.unionByName(both.withColumn("_n", F.row_number().over(order)).filter("_n = 1").select(*cols))
+    # Rows whose id repeats or is null: few, if any.  They find their group by id and fingerprint.
+    fp, root, place, own, mark = scratch.fresh(docs, "_fp", "_root", "_place", "_id", "_print")
+    odd = docs.join(several.select(F.col("doc_id").alias(own)), docs["doc_id"].eqNullSafe(F.col(own)), "left_semi").select(*cols)
+    groups = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(own), F.col("fp").alias(mark), F.col("root").alias(root)).distinct()
+    mine = _with_fingerprint(odd, fp).join(groups, F.col("doc_id").eqNullSafe(F.col(own)) & (F.col(fp) == F.col(mark))).select(*cols, root)
+    order = Window.partitionBy(root).orderBy(F.xxhash64(*cols), "text")
+    return once.unionByName(mine.withColumn(place, F.row_number().over(order)).filter(F.col(place) == 1).select(*cols))
 
 
-def _with_fingerprint(docs: DataFrame) -> DataFrame:
-    """``docs`` with their fingerprints in column _fp."""
+def _with_fingerprint(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with their fingerprints in column ``name``."""
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hs = [_hashes(t or "") for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            hs = [_hashes(t or "") for t in batch.column(at).to_pylist()]
             fp = _majority(np.array([x for h, _ in hs for x in h], np.uint64), np.array([n for _, n in hs], np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64))], [*batch.schema.names, "_fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64))], [*batch.schema.names, name])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, schema + ", `_fp` long")
+    return docs.mapInArrow(run, f"{schema}, `{name}` long")
 
 
 def op5_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
