@@ -1,5 +1,5 @@
 """Closed key ranges of tables: overlap, hull, chains and splits.  All inputs are metadata, a row
-a file."""
+a file; one is broadcast only if it has been counted and is small."""
 
 from __future__ import annotations
 
@@ -7,9 +7,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of file metadata up to which they are broadcast (about 200 bytes each).
+BROADCAST_FILES = 200_000
+
+
+def small(metadata: DataFrame) -> DataFrame:
+    """Metadata for the inner side of a range join: with a broadcast hint if it is small, else as it is."""
+    return F.broadcast(metadata) if metadata.count() <= BROADCAST_FILES else metadata
+
+
 def overlapping(a: DataFrame, b: DataFrame) -> DataFrame:
     """Pairs of ranges (left_a, right_a), (left_b, right_b) that share a key."""
-    return a.join(F.broadcast(b), (F.col("left_a") <= F.col("right_b")) & (F.col("right_a") >= F.col("left_b")))
+    return a.join(small(b), (F.col("left_a") <= F.col("right_b")) & (F.col("right_a") >= F.col("left_b")))
 
 
 def hull(ranges: DataFrame, *by: str) -> DataFrame:
@@ -35,5 +44,5 @@ def split_points(bottom: DataFrame, n: int) -> DataFrame:
 
 def conflicts(plans: DataFrame, in_flight: DataFrame) -> DataFrame:
     """Plans whose range at a level overlaps none in flight there."""
-    b = F.broadcast(in_flight.select(F.col("level").alias("l"), F.col("left").alias("busy_left"), F.col("right").alias("busy_right")))
+    b = small(in_flight.select(F.col("level").alias("l"), F.col("left").alias("busy_left"), F.col("right").alias("busy_right")))
     return plans.join(b, (F.col("level") == F.col("l")) & (F.col("left") <= F.col("busy_right")) & (F.col("right") >= F.col("busy_left")), "left_anti")

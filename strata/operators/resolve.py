@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codec import common_prefix, octets, record_size
 from ..sources.shared import written
+from .ranges import small
 
 TOMBSTONE = ""
 #: Keys looked up at once up to which they are broadcast (a probe is a short string).
@@ -132,4 +133,4 @@ def newest_hit(keys: DataFrame, tables: DataFrame) -> DataFrame:
 def candidate_tables(keys: DataFrame, stats: DataFrame) -> DataFrame:
     """Tables whose key range holds each key.  ``stats`` is file-level metadata (a row a file)."""
     inside = (F.col("min_key") <= F.col("key")) & (F.col("key") <= F.col("max_key"))
-    return keys.select("key").distinct().join(F.broadcast(stats), inside).select("key", "fid")
+    return keys.select("key").distinct().join(small(stats), inside).select("key", "fid")
