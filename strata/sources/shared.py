@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,3 +29,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's code to the executors, once in an application, for sessions whose workers
+    cannot import it by themselves."""
+    context = spark.sparkContext
+    if getattr(context, "_strata_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    at = os.path.join(tempfile.mkdtemp(prefix="strata-code-"), "strata-code.zip")
+    with zipfile.ZipFile(at, "w") as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    context.addPyFile(at)
+    context._strata_shipped = True
