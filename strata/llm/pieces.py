@@ -72,7 +72,7 @@ def piece_starts(block: tx.Block) -> np.ndarray:
 class PieceCoder:
     """Ids of pieces, by ``encode`` (strings to lists of ids) and a table of up to ``most`` pieces."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 3 << 19):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 1 << 20):
         self.encode, self.most = encode, most
         self.bits = (4 * most - 1).bit_length()
         self._clear()

@@ -35,7 +35,7 @@ from . import text as tx
 
 WINDOW = 35
 DEPTH = 2
-CHUNK = 8 << 20  # characters
+CHUNK = 4 << 20  # characters
 SLICE = 22  # cells of a slice, as a power of two
 ENTRY = "chunk long, slice int, entries binary"
 BITS = "chunk long, slice int, bits binary"

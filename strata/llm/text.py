@@ -1,6 +1,6 @@
 """Vectorised views of text: code points, words, lines and hashes of their ranges.
 
-Everything works on blocks of about a million characters, so memory does not
+Everything works on blocks of about 260,000 characters, so memory does not
 depend on how many rows an Arrow batch holds; only a single longer text makes a
 longer block.  Ranges (words, lines, windows) are hashed from prefix sums of a
 polynomial modulo 2**64, so a window costs the same however many words it has.
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 U64 = np.uint64
 
 
