@@ -1,4 +1,4 @@
-"""Tables written to the folder that the whole cluster shares, to cut lineage."""
+"""Tables written to the folder that the whole cluster shares, to cut lineage, and code sent to it."""
 
 from __future__ import annotations
 
@@ -10,27 +10,41 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_OWN: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one where none is named."""
+    """The folder named by ``spark.checkpoint.dir``; where the session names none (tests, notebooks), a
+    temporary one of the application's own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="strata-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = tempfile.mkdtemp(prefix="strata-")
+        root = _OWN[app]
+    return f"{root.rstrip('/')}/strata-{spark.sparkContext.applicationId}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/strata/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet and read again: computed once, however often it is used, and
+    independent of the executors that computed it."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Remove what this application has written to the shared folder; results not yet read are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package's code to the executors, once in an application, for sessions whose workers
     cannot import it by themselves."""
