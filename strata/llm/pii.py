@@ -39,7 +39,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 UNIT = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+|\+?\(?[0-9](?:[\x20().-]{0,3}[0-9])+")
 NUMBER = re.compile(r"[0-9]+")
 #: What a text with any base span or node must contain.
-TRACE = r"@|[0-9][ ().-]{0,3}[0-9][ ().-]{0,3}[0-9][ ().-]{0,3}[0-9]"
+TRACE = r"@|\+[0-9]|[0-9][ ().-]{0,3}[0-9][ ().-]{0,3}[0-9][ ().-]{0,3}[0-9]"
 
 CUES = {  # fixed values: words that announce each kind, in the corpus' languages
     "email": ("email", "e-mail", "mail", "courriel", "correo", "contact", "kontakt"),

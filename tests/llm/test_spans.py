@@ -191,6 +191,12 @@ def test_beliefs_equal_enumeration():
     assert n == 3 and np.allclose(f.beliefs(), total / total.sum(1, keepdims=True), atol=0.02)
 
 
+def test_widely_spaced_phone_is_traced(spark):
+    text = "     ".join("+1 2 3 4 5 6 7 8 9 0".split())
+    assert len(pii.base_spans(text)) == 1
+    assert pii.scan(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first().n_phone == 1
+
+
 def test_pii_scan(docs, empty):
     from pyspark.sql import functions as F
 
