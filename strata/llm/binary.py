@@ -188,6 +188,8 @@ def write_tokens(docs: DataFrame, folder: str, *, tokenizer: str | None = None,
         if out is not None:
             out.close()
             sink.close()
+            if fs.get_file_info(name).type != pafs.FileType.NotFound:  # of a task that ran before
+                fs.delete_file(name)
             fs.move(draft, name)
             yield pa.RecordBatch.from_pydict({"file": pa.array([part], pa.int32()), "path": [name], "n_docs": pa.array([len(out.docs)], pa.int64()), "n_ids": pa.array([out.n_ids], pa.int64())})
 

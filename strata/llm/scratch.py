@@ -1,38 +1,12 @@
-"""Tables cut out of the lineage, in the folder that the whole cluster shares.
-
-The folder is the one named by ``spark.checkpoint.dir``.  Only when the session
-names none (tests, notebooks) a temporary one is made.
-"""
+"""What the operators share: tables in the shared folder, and column names that clash with none."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.shared import new_path, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """URI or path of the shared folder of this session."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="strata-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/strata/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet and read again: computed once, however often it is used, and
-    independent of the executors that computed it."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["documents", "fresh", "new_path", "written"]
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
