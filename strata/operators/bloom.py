@@ -12,17 +12,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 U32 = 0xFFFFFFFF
+# Fixed values of the filter's shape: ln 2 as written there, hash functions for each bit a key, bounds of
+# their number, the least number of bits, and how far a hash is rotated for its second hash.
+LN2 = 0.69314718056
+HASHES_PER_BIT = 0.69
+LEAST_HASHES, MOST_HASHES = 1, 30
+LEAST_BITS = 64
+ROTATION = 17
 
 
 def bits_per_key(false_positive: float) -> int:
     """Bits a key for a rate of false positives."""
-    return math.ceil(-math.log(false_positive) / 0.69314718056**2)
+    return math.ceil(-math.log(false_positive) / LN2**2)
 
 
 def sizing(n: int, per_key: int) -> tuple[int, int]:
     """Number of hash functions and of bits (whole bytes, 64 at least)."""
-    k = min(max(int(per_key * 0.69), 1), 30)
-    return k, (max(64, n * per_key) + 7) // 8 * 8
+    k = min(max(int(per_key * HASHES_PER_BIT), LEAST_HASHES), MOST_HASHES)
+    return k, (max(LEAST_BITS, n * per_key) + 7) // 8 * 8
 
 
 def key_hash(key: Column) -> Column:
@@ -30,8 +37,8 @@ def key_hash(key: Column) -> Column:
 
 
 def positions(h: Column, k: int, n_bits: int) -> Column:
-    """Bits of a hash: repeatedly adding it rotated right by 17."""
-    delta = F.shiftright(h, 17).bitwiseOR(F.shiftleft(h, 15).bitwiseAND(F.lit(U32)))
+    """Bits of a hash: repeatedly adding it rotated to the right."""
+    delta = F.shiftright(h, ROTATION).bitwiseOR(F.shiftleft(h, 32 - ROTATION).bitwiseAND(F.lit(U32)))
     return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: (h + i * delta).bitwiseAND(F.lit(U32)) % n_bits)
 
 

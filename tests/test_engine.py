@@ -201,3 +201,21 @@ def test_store_equals_a_dictionary(spark, tmp_path, seed):
         for level in range(1, o.max_level_num):
             t = s.now.level(level)
             assert all(a.max_key < b.min_key for a, b in zip(t, t[1:]))
+
+
+def test_bloom_shape_and_rate(spark):
+    from strata.operators import bloom
+
+    assert bloom.bits_per_key(0.01) == 10 and bloom.sizing(1000, 10) == (6, 10000) and bloom.sizing(0, 10) == (6, 64)
+    keys = spark.range(1000).select(F.concat(F.lit("k"), "id").alias("key"))
+    bits, k, n = bloom.build(keys, 10)
+    hits = bloom.probe(keys.unionByName(spark.range(10_000).select(F.concat(F.lit("x"), "id").alias("key"))), bits, k, n)
+    got = {(r.here, r.may_contain): r["count"] for r in hits.groupBy(F.col("key").startswith("k").alias("here"), "may_contain").count().collect()}
+    assert got[True, True] == 1000 and (True, False) not in got and got.get((False, True), 0) < 200
+
+
+def test_production_sketch(spark):
+    from strata.operators import bloom
+
+    sketch = bloom.probe_sketch(spark.range(100).select(F.col("id").cast("string").alias("key")), 100, 0.01)
+    assert all(sketch.mightContain(str(i)) for i in range(100))
