@@ -26,5 +26,5 @@ class Options:
 
     @staticmethod
     def small() -> Options:
-        """For tests: fixed values of the original test settings."""
+        """For tests: fixed values, all small."""
         return Options(memtable_size=1024, sstable_size=1024, base_level_size=10 * MIB, base_table_size=2 * MIB, bloom_false_positive=0.0)
