@@ -38,6 +38,7 @@ MOST = 4
 SEGMENTS = ((0, 21), (21, 21), (42, 22))  # first bit, width
 CROWD = 512
 BATCH = 1 << 17
+COMMON = 1000
 
 
 def _hashes(text: str) -> tuple[list[int], int]:
@@ -202,13 +203,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp, root (the component's smallest fingerprint), component_id of every row."""
     fps = scratch.written(fingerprints(docs), "simhash-fingerprints")
     roots = scratch.written(components(links(fps)), "simhash-roots")
-    least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     linked = least.join(roots.withColumnRenamed("node", "fp"), "fp")
     of_root = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     moved = linked.join(of_root, "root").select("fp", "root", "component_id")
     each = least.join(moved, "fp", "left")
-    each = each.select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
-    return fps.join(each, "fp").select("doc_id", "fp", "root", "component_id")
+    each = each.select("fp", "n", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    each = scratch.written(each, "simhash-each")
+    # Fingerprints of more than one row in a thousand are fewer than a thousand: they are broadcast, so
+    # that the rows of a large group of copies stay where they are.
+    common = F.broadcast(each.filter(F.col("n") * COMMON > fps.count()).drop("n"))
+    rare = fps.join(common.select("fp"), "fp", "left_anti").join(each.drop("n"), "fp")
+    return fps.join(common, "fp").unionByName(rare).select("doc_id", "fp", "root", "component_id")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
