@@ -175,7 +175,7 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
     marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(~held_out())
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(marks, "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(marks), "doc_id")  # TRAIN_ROWS pairs of numbers at most
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return scratch.written(rows.groupBy("text").agg(F.max("toxic").alias("toxic")).repartition(n), "toxicity-train")
 
