@@ -36,7 +36,7 @@ from . import text as tx
 WINDOW = 35
 DEPTH = 2
 CHUNK = 4 << 20  # characters
-SLICE = 22  # cells of a slice, as a power of two
+LEAST_SLICE, MOST_SLICE = 22, 26  # cells of a slice, as powers of two
 ENTRY = "chunk long, slice int, entries binary"
 BITS = "chunk long, slice int, bits binary"
 
@@ -78,6 +78,11 @@ def _rows(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(blob).read_all()
 
 
+def _slice(bits: int) -> int:
+    """Cells of a slice of a row with 2**bits cells: about a thousand slices, as far as the bounds go."""
+    return max(LEAST_SLICE, min(MOST_SLICE, bits - 10))
+
+
 class Windows:
     """The windows of a chunk's texts, with their hashes: 64 bits (``h``) and 32 more (``g``)."""
 
@@ -143,15 +148,15 @@ def _emit(chunk: int, slices: list[int], values: list[bytes], name: str) -> pa.R
     return pa.RecordBatch.from_arrays([pa.array([chunk] * len(slices), pa.int64()), pa.array(slices, pa.int32()), pa.array(values, pa.binary())], ["chunk", "slice", name])
 
 
-def _sketch_entries(chunk: int, w: Windows, bits: int) -> pa.RecordBatch:
+def _sketch_entries(chunk: int, w: Windows, bits: int, size: int) -> pa.RecordBatch:
     slices, values = [], []
     for row in range(DEPTH):
         own = _sorted_once(w.cells(row, bits))
-        of = (own >> own.dtype.type(SLICE)).astype(np.int64)
+        of = (own >> own.dtype.type(size)).astype(np.int64)
         cut = np.flatnonzero(np.diff(of, prepend=-1))
         for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(own)]):
-            slices.append(row << bits - SLICE | int(of[a]))
-            inside = own[a:b] & own.dtype.type((1 << SLICE) - 1)
+            slices.append(row << bits - size | int(of[a]))
+            inside = own[a:b] & own.dtype.type((1 << size) - 1)
             values.append(_planes(np.diff(inside, prepend=inside.dtype.type(0)).astype("<u4")))
     return _emit(chunk, slices, values, "entries")
 
@@ -166,12 +171,12 @@ def _bits_of(answers: list[dict], slices: np.ndarray) -> np.ndarray:
     return out
 
 
-def _estimated(w: Windows, answers: list[dict], bits: int) -> np.ndarray:
+def _estimated(w: Windows, answers: list[dict], bits: int, size: int) -> np.ndarray:
     """Windows whose smallest count over the sketch's rows is two or more."""
     out = np.ones(len(w.h), bool)
     for row in range(DEPTH):
         own, inverse, here = _distinct(w.cells(row, bits))
-        of = (own >> own.dtype.type(SLICE)).astype(np.int64) | row << bits - SLICE
+        of = (own >> own.dtype.type(size)).astype(np.int64) | row << bits - size
         out &= (here | _bits_of(answers, of))[inverse]
     return out
 
@@ -209,9 +214,14 @@ def _answer(table: pa.Table, sizes: list[int], repeated: np.ndarray) -> pa.Table
 
 
 def _merge_cells(table: pa.Table) -> pa.Table:
+    """Of each chunk's cells those that another chunk has too.  A chunk's own cells are distinct."""
     cells = [np.cumsum(_unplanes(v, 4)[0], dtype=np.int64) for v in table["entries"].to_pylist()]
-    count = np.bincount(np.concatenate(cells), minlength=1)
-    return _answer(table, [*map(len, cells)], np.concatenate([count[c] > 1 for c in cells]))
+    once = np.zeros(max(int(c[-1]) for c in cells) + 1, bool)
+    more = once.copy()
+    for c in cells:
+        more[c] |= once[c]
+        once[c] = True
+    return _answer(table, [*map(len, cells)], np.concatenate([more[c] for c in cells]))
 
 
 def _merge_hashes(table: pa.Table) -> pa.Table:
@@ -242,20 +252,21 @@ def repeats(docs: DataFrame, finish: Callable[[pa.Table, Windows, np.ndarray], p
     ``docs`` has its text in the last column."""
     text = docs.columns[-1]
     octets = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    bits = max(SLICE, int(octets).bit_length())
-    slice_bits = bits - SLICE
+    bits = max(LEAST_SLICE, int(octets).bit_length())
+    size = _slice(bits)
+    slice_bits = bits - size
     chunks = chunked(docs)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, blob in zip(*(c.to_pylist() for c in batch.columns)):
-                yield _sketch_entries(chunk, Windows(_rows(blob)[text]), bits)
+                yield _sketch_entries(chunk, Windows(_rows(blob)[text]), bits, size)
 
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, blob, answers in zip(*(c.to_pylist() for c in batch.columns)):
                 w = Windows(_rows(blob)[text])
-                flags = _estimated(w, answers, bits)
+                flags = _estimated(w, answers, bits, size)
                 yield _Exact(w, flags, slice_bits).entries(chunk)
                 yield _emit(chunk, [-1], [np.packbits(flags).tobytes()], "entries")
 

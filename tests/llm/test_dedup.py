@@ -202,9 +202,14 @@ def removals(rows):
     return [(ws, {i + j for i in range(len(ws) - 34) if n[tuple(ws[i : i + 35])] > 1 for j in range(35)}) for ws in words]
 
 
-@pytest.mark.parametrize("chunk", [1500, 8 << 20])
-def test_substring_equals_brute_force(docs, texts, empty, monkeypatch, chunk):
+def test_slices_grow_within_bounds():
+    assert [substring._slice(b) for b in (22, 30, 32, 34, 36, 47)] == [22, 22, 22, 24, 26, 26]
+
+
+@pytest.mark.parametrize("chunk, least", [(1500, 22), (1500, 12), (8 << 20, 22)])
+def test_substring_equals_brute_force(docs, texts, empty, monkeypatch, chunk, least):
     monkeypatch.setattr(substring, "CHUNK", chunk)
+    monkeypatch.setattr(substring, "LEAST_SLICE", least)
     want, kept = Counter(), []
     for (d, _), (ws, gone) in zip(texts, removals([t for _, t in texts])):
         left = [w for i, w in enumerate(ws) if i not in gone]
@@ -220,19 +225,18 @@ def test_substring_equals_brute_force(docs, texts, empty, monkeypatch, chunk):
     assert substring.digests(empty).count() == 0 == substring.dedup(empty).count()
 
 
-def test_estimates_are_never_low(monkeypatch):
+def test_estimates_are_never_low():
     """Tables so narrow that most cells collide only estimate more windows repeated."""
     r = random.Random(2)
     texts = pa.chunked_array([[" ".join(r.choice("abcd") for _ in range(90)) for _ in range(5)]])
     w = substring.Windows(texts, 6)
-    monkeypatch.setattr(substring, "SLICE", 4)
-    batch = substring._sketch_entries(1, w, 9)
+    batch = substring._sketch_entries(1, w, 9, 4)
     table = pa.Table.from_batches([batch])
     answers = []
     for s in set(table["slice"].to_pylist()):
         part = table.filter(pa.compute.equal(table["slice"], s))
         answers += substring._merge_cells(part).select(["slice", "bits"]).to_pylist()
-    estimated = substring._estimated(w, answers, 9)
+    estimated = substring._estimated(w, answers, 9, 4)
     assert (estimated >= tx.repeated(w.h)).all() and estimated.sum() >= tx.repeated(w.h).sum() > 0
 
 
