@@ -33,7 +33,7 @@ from . import scratch
 from . import text as tx
 from .pieces import PieceCoder
 
-STATES = 1 << 18
+STATES = 1 << 17
 LAG = 1 << 10
 
 
@@ -73,9 +73,9 @@ class MergeTransducer:
         self._clear()
 
     def _clear(self) -> None:
-        # A state: for each boundary at which a token may have begun, the oldest first, the trie node
-        # reached since and the last token before it (-1 at the beginning).
-        start = ((0, -1),)
+        # A state: for each boundary at which a token may have begun, the oldest first, one number of the
+        # trie node reached since and, in its low 20 bits, one more than the last token before it.
+        start = (0,)
         self.number: dict[tuple, int] = {start: 0}
         self.state: list[tuple] = [start]
         self.next: dict[int, int] = {}  # 256 * state + byte -> (state after it) << 20 | last token
@@ -101,12 +101,13 @@ class MergeTransducer:
     def _move(self, n: int, byte: int) -> int:
         """The state after ``byte`` and the last token of the prefix that ends there."""
         alive, whole = [], -1
-        for node, last in self.state[n]:
-            to = self.step.get(node << 8 | byte)
+        for bound in self.state[n]:
+            last = (bound & 0xFFFFF) - 1
+            to = self.step.get(bound >> 20 << 8 | byte)
             if to is None:
                 continue
             if to in self.inner:
-                alive.append((to, last))
+                alive.append(to << 20 | last + 1)
             t = self.token[to]
             if t >= 0 and (last < 0 or self._may_follow(last, t)):
                 if whole >= 0:
@@ -114,7 +115,7 @@ class MergeTransducer:
                 whole = t
         if whole < 0:
             raise ValueError("the ranks are no merge table: a prefix has no last token")
-        key = (*alive, (0, whole))
+        key = (*alive, whole + 1)
         to = self.number.get(key)
         if to is None:
             to = self.number[key] = len(self.state)
@@ -133,7 +134,7 @@ class MergeTransducer:
 
     def _agreed(self, n: int, lasts: list[int]) -> list[int]:
         """The tokens on which all boundaries of state n agree; no later byte can change them."""
-        chains = [self._back(lasts, len(lasts) - self.depth[node]) for node, _ in self.state[n]]
+        chains = [self._back(lasts, len(lasts) - self.depth[bound >> 20]) for bound in self.state[n]]
         k = 0
         while all(len(c) > k and c[k] == chains[0][k] for c in chains):
             k += 1
@@ -235,7 +236,7 @@ def transducer(path: str) -> MergeTransducer:
 @cache
 def coder(path: str) -> PieceCoder:
     encode = transducer(path).encode
-    return PieceCoder(lambda strings: [encode(s.encode()) for s in strings])
+    return PieceCoder(lambda strings: [encode(s.encode()) for s in strings], most=1 << 19)
 
 
 def encode_texts(texts: pa.Array, path: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
