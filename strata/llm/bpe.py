@@ -33,7 +33,7 @@ from . import scratch
 from . import text as tx
 from .pieces import PieceCoder
 
-STATES = 1 << 17
+STATES = 1 << 18
 LAG = 1 << 10
 
 
