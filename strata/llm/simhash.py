@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import scratch
+from . import resemblance, scratch
 from .components import components
 
 SHINGLE = 4
@@ -41,21 +41,21 @@ BATCH = 1 << 17
 COMMON = 1000
 
 
-def _hashes(text: str) -> tuple[list[int], int]:
+def _hashes(text: str, shingle: int = SHINGLE) -> tuple[list[int], int]:
     """XXH64 of a text's shingles, repeats included."""
     words = text.encode().lower().split()
     if not words:
         return [], 0
     joined = b" ".join(words)
-    if len(words) <= SHINGLE:
+    if len(words) <= shingle:
         return [xxhash.xxh64_intdigest(joined, SEED)], 1
     ends, at = [], -1
     for w in words:
         at += len(w) + 1
         ends.append(at)
-    starts = [0, *(e + 1 for e in ends[: len(words) - SHINGLE])]
+    starts = [0, *(e + 1 for e in ends[: len(words) - shingle])]
     digest = xxhash.xxh64_intdigest
-    return [digest(joined[a:b], SEED) for a, b in zip(starts, ends[SHINGLE - 1 :])], len(starts)
+    return [digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :])], len(starts)
 
 
 def _majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -199,10 +199,18 @@ def links(fps: DataFrame) -> DataFrame:
     return pairs if crowd.isEmpty() else pairs.unionByName(_met(crowd))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, root (the component's smallest fingerprint), component_id of every row."""
+def near_duplicates(docs: DataFrame, jaccard: float | None = None) -> DataFrame:
+    """doc_id, fp, root (the component's smallest fingerprint), component_id of every row.  With
+    ``jaccard``, texts whose sets of ``resemblance.SHINGLE``-word shingles have that Jaccard resemblance or
+    more are linked too, however many bits their fingerprints differ in."""
     fps = scratch.written(fingerprints(docs), "simhash-fingerprints")
     roots = scratch.written(components(links(fps)), "simhash-roots")
+    if jaccard is not None:
+        texts = _with_fingerprint(docs.select(F.col("text").cast("string").alias("text")), "node")
+        each = texts.select(F.xxhash64("text").alias("text"), "node").distinct().join(roots, "node", "left")
+        each = scratch.written(each.select("text", F.coalesce("root", "node").alias("root")), "simhash-texts")
+        more = scratch.written(resemblance.links(docs, each, _hashes, jaccard), "simhash-resemblance")
+        roots = scratch.written(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "simhash-roots")
     least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     linked = least.join(roots.withColumnRenamed("node", "fp"), "fp")
     of_root = linked.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -217,11 +225,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return fps.join(common, "fp").unionByName(rare).select("doc_id", "fp", "root", "component_id")
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of near copies: that with the smallest doc_id.  Where several
-    rows share that id, or none of the group has one, the row with the smallest hash of its values."""
+def deduplicated(docs: DataFrame, jaccard: float | None = None) -> DataFrame:
+    """``docs`` with one row of each group of near copies (see ``near_duplicates``): that with the
+    smallest doc_id.  Where several rows share that id, or none of the group has one, the row with the
+    smallest hash of its values."""
     cols = docs.columns
-    found = scratch.written(near_duplicates(docs), "simhash-groups")
+    found = scratch.written(near_duplicates(docs, jaccard), "simhash-groups")
     several = scratch.written(found.groupBy("doc_id").count().filter((F.col("count") > 1) | F.col("doc_id").isNull()).select("doc_id"), "simhash-several")
     first = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").join(several, "doc_id", "left_anti")
     once = docs.join(first, "doc_id", "left_semi").select(*cols)

@@ -176,6 +176,39 @@ def test_links_lose_nothing(spark, monkeypatch, crowd):
     assert root == want
 
 
+def test_near_copies_far_apart_in_bits_fall_together(spark):
+    """Groups by 5-word shingles of Jaccard 0.8 or more, and four bits, by brute force."""
+    r = random.Random(5)
+    texts = []
+    for _ in range(25):
+        ws = [f"w{r.randint(0, 9999)}" for _ in range(r.randint(60, 150))]
+        texts.append(" ".join(ws))
+        for n in (1, 2, 4):
+            texts.append(" ".join(["new", *ws[n:-n], "end"]) if n > 1 else " ".join(w if i != len(ws) // 2 else "new" for i, w in enumerate(ws)))
+    texts += [" ".join(f"c{k}" for k in range(100)) + f" own{i}" for i in range(60)] + ["", None, "one two", "ONE  two"]
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, fps = [shingles(t) for t in texts], [fingerprint(t or "") for t in texts]
+    root, far = list(range(len(texts))), 0
+    for i in range(len(texts)):
+        for k in range(i):
+            near, both = (fps[i] ^ fps[k]).bit_count() <= 4, len(sets[i] & sets[k])
+            like = both > 0 and both >= 0.8 * len(sets[i] | sets[k])
+            far += like and not near
+            if near or like:
+                x, y = root[i], root[k]
+                root = [min(x, y) if v in (x, y) else v for v in root]
+    assert far > 10
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(3)
+    got = {x.doc_id: x.component_id for x in simhash.near_duplicates(df, 0.8).collect()}
+    assert got == dict(enumerate(root))
+    assert {x.doc_id for x in simhash.deduplicated(df, 0.8).collect()} == set(root)
+    assert simhash.near_duplicates(df.limit(0), 0.8).count() == 0
+
+
 def test_each_pair_is_found_under_one_key():
     r = random.Random(1)
     for _ in range(300):
