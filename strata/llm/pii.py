@@ -3,12 +3,14 @@
 The base patterns' spans always stand.  The field decides about what they leave: numbers in
 other spellings, and addresses.  Its nodes are the units of a document that could be personal
 data at all (numbers of seven or more digits, dotted numbers, units with ``@``); every other
-word is "other" with certainty and only speaks as context.  Each node has potentials from its
-shape, the base patterns and the cue words before it; neighbouring nodes are linked in a chain,
-and each node is linked to the one before with the same or similar content (same digits, same
-last nine digits, same address), however far back.  Loopy message passing over both kinds of
-link makes labels agree across the document, so a phone number spelled without its plus sign is
-found because it stands elsewhere with it.  Links grow with the nodes, not with their pairs.
+word is "other" with certainty and only speaks as context.  Nodes of one content (same digits, same
+last nine digits, same address) and shape share one variable over the whole document, however far
+apart, so its prior counts once and repeats cannot outvote what is known.  Variables have potentials
+from their shape, the base patterns (which are certain) and the cue words before them; those of one
+content are linked to what the base patterns found of it, and neighbours in a chain where they are
+first met.  Loopy message passing over both kinds of link runs until it settles, so a phone number
+spelled without its plus sign is found because it stands elsewhere with it.  Links grow with the
+nodes, not with their pairs.
 
 The weights are parameters (there are no labels of personal data to learn them from); an
 unlinked node without a cue is never reported by its shape alone.
@@ -49,11 +51,13 @@ CUES = {  # fixed values: words that announce each kind, in the corpus' language
 }
 _CUE = {w: k for k, name in enumerate(KINDS, 1) for w in CUES[name]}
 CONTEXT = 48  # code points before a node in which cues count
-BASE, AGAINST, NEVER = 8.0, -4.0, -30.0
+BASE, NEVER = 8.0, -30.0
 PRIOR = {"email": -3.0, "ip": -4.0, "card": -4.0, "phone": -3.0}
 CUE, SHAPE, GROUPED, PLAIN = 2.0, 1.5, 0.5, -2.0
 NEAR, CHAIN, SAME, SIMILAR = 64, 0.3, 6.0, 5.0
-ROUNDS, DAMPING, SURE = 12, 0.3, 0.5
+DAMPING, SURE = 0.3, 0.5
+#: Messages have settled when none moves by more; the rounds end in any case, if they never do.
+SETTLED, MOST_ROUNDS = 1e-6, 10_000
 
 
 def luhn(digits: str) -> bool:
@@ -79,7 +83,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 class Field:
-    """The random field of one document."""
+    """The random field of one document.  Occurrences of one content (same address, same last nine
+    digits, or same digits where there are fewer) whose shapes allow the same kinds share a variable."""
 
     def __init__(self, text: str, base: list[tuple[int, int, int]]):
         self.text = text
@@ -96,12 +101,27 @@ class Field:
                 spans.add(m.span())
         self.nodes = sorted(spans)
         self.base = [found.get(s, -1) for s in self.nodes]
-        self.unary = np.array([self._unary(a, b, k) for (a, b), k in zip(self.nodes, self.base)]).reshape(-1, len(KINDS) + 1)
+        self.variable, self.first, self.contents = [], [], []
+        ids: dict[tuple, int] = {}
+        unary: list[list[float]] = []
+        for (a, b), kind in zip(self.nodes, self.base):
+            scores = self._unary(a, b, kind)
+            whole, end = self._keys(a, b)
+            v = ids.setdefault((end, kind, tuple(x > NEVER / 2 for x in scores)), len(ids))
+            self.first.append(v == len(unary))
+            self.variable.append(v)
+            if self.first[-1]:
+                unary.append(scores)
+                self.contents.append((end, kind, {whole}))
+            else:  # the prior counts once, in the likeliest spelling and place
+                unary[v] = [*map(max, unary[v], scores)]
+                self.contents[v][2].add(whole)
+        self.unary = np.array(unary).reshape(-1, len(KINDS) + 1)
         self.edges, self.weights = self._links()
 
     def _unary(self, a: int, b: int, kind: int) -> list[float]:
         if kind >= 0:
-            return [0.0, *(BASE if k == kind else AGAINST for k in range(len(KINDS)))]
+            return [-np.inf, *(BASE if k == kind else -np.inf for k in range(len(KINDS)))]
         s = self.text[a:b]
         n = len(_digits(s))
         scores = [0.0, NEVER, NEVER, NEVER, NEVER]
@@ -121,28 +141,36 @@ class Field:
                 scores[k] += CUE
         return scores
 
-    def _keys(self, a: int, b: int) -> list[tuple[float, str]]:
+    def _keys(self, a: int, b: int) -> tuple[str, str]:
+        """What two spellings of one content have in common at most, and at least."""
         s = self.text[a:b]
         if "@" in s:
-            return [(SAME, s.lower().rstrip("."))]
+            return (s.lower().rstrip("."),) * 2
         d = _digits(s)
-        return [(SAME, d), (SIMILAR, "end " + d[-9:])] if len(d) >= 9 else [(SAME, d)]
+        return d, "end " + d[-9:] if len(d) >= 9 else d
 
     def _links(self) -> tuple[np.ndarray, np.ndarray]:
-        last: dict[str, int] = {}
         edges: dict[tuple[int, int], float] = {}
-        for i, (a, b) in enumerate(self.nodes):
-            if i and a - self.nodes[i - 1][1] <= NEAR:
-                edges[i - 1, i] = CHAIN
-            for w, key in self._keys(a, b):
-                if key in last:
-                    e = (last[key], i)
-                    edges[e] = max(edges.get(e, 0.0), w)
-                last[key] = i
+        alike: dict[str, list[int]] = {}
+        for v, (end, _, _) in enumerate(self.contents):
+            alike.setdefault(end, []).append(v)
+        for vs in alike.values():  # a handful at most: one for each kind and shape
+            known = [v for v in vs if self.contents[v][1] >= 0]
+            for v in vs:
+                if self.contents[v][1] < 0:
+                    for k in known or vs[:1]:
+                        if k != v:
+                            edges[min(k, v), max(k, v)] = SAME if self.contents[k][2] & self.contents[v][2] else SIMILAR
+        for i in range(1, len(self.nodes)):
+            # Only where a content is first met, so that repeats add nothing for or against it.
+            if self.nodes[i][0] - self.nodes[i - 1][1] <= NEAR and all(self.first[j] or self.base[j] >= 0 for j in (i - 1, i)):
+                a, b = sorted(self.variable[i - 1 : i + 1])
+                if a != b:
+                    edges.setdefault((a, b), CHAIN)
         return np.array([*edges], np.int64).reshape(-1, 2), np.array([*edges.values()])
 
     def beliefs(self) -> np.ndarray:
-        """Probability of each label at each node, by loopy sum-product."""
+        """Probability of each label of each variable, by loopy sum-product until no message moves."""
         u = self.unary
         if len(self.edges):
             e, n = self.edges, len(self.edges)
@@ -150,14 +178,17 @@ class Field:
             back = np.concatenate([np.arange(n, 2 * n), np.arange(n)])
             bonus = np.concatenate([self.weights, self.weights])[:, None, None] * np.eye(u.shape[1])
             m = np.zeros((2 * n, u.shape[1]))
-            for _ in range(ROUNDS):
+            for _ in range(MOST_ROUNDS):
                 total = u.copy()
                 np.add.at(total, target, m)
                 x = (total[source] - m[back])[:, :, None] + bonus
                 top = x.max(1)
                 new = top + np.log(np.exp(x - top[:, None, :]).sum(1))
                 new -= new.max(1, keepdims=True)
-                m = DAMPING * m + (1 - DAMPING) * new
+                new = DAMPING * m + (1 - DAMPING) * new
+                moved, m = np.abs(new - m).max(), new
+                if moved < SETTLED:
+                    break
             u = u.copy()
             np.add.at(u, target, m)
         p = np.exp(u - u.max(1, keepdims=True))
@@ -166,7 +197,7 @@ class Field:
     def added(self) -> list[tuple[int, int, int]]:
         """(kind, start, end) of the nodes that the field labels and no base pattern does."""
         out = []
-        for (a, b), kind, p in zip(self.nodes, self.base, self.beliefs()):
+        for (a, b), kind, p in zip(self.nodes, self.base, self.beliefs()[self.variable] if self.nodes else ()):
             if kind < 0 and p[0] < SURE:
                 s = self.text[a:b]
                 out.append((int(p[1:].argmax()), a, b - (len(s) - len(s.rstrip(".-"))) if "@" in s else b))

@@ -191,6 +191,21 @@ def test_beliefs_equal_enumeration():
     assert n == 3 and np.allclose(f.beliefs(), total / total.sum(1, keepdims=True), atol=0.02)
 
 
+@pytest.mark.parametrize("spelling", ["030123456789", "030 123456789"])
+@pytest.mark.parametrize("between", [" and ", ", no 7654321, ", " filler" * 40 + " "])
+def test_repeats_of_a_known_number_are_all_found(spelling, between):
+    for n in (1, 2, 3, 6, 50):
+        _, more = found("+49 30 123456789" + between + between.join([spelling] * n))
+        assert more == [("phone", spelling)] * n
+        assert found(between.join([spelling] * n))[1] == []
+
+
+def test_a_cue_holds_for_every_occurrence():
+    far = " filler" * 40 + " "
+    _, more = found(far.join(["030 123456789"] * 3 + ["phone 030 123456789"] + ["030 123456789"] * 20))
+    assert more == [("phone", "030 123456789")] * 24
+
+
 def test_widely_spaced_phone_is_traced(spark):
     text = "     ".join("+1 2 3 4 5 6 7 8 9 0".split())
     assert len(pii.base_spans(text)) == 1
