@@ -119,18 +119,20 @@ def base_failed() -> F.Column:
     return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
 
 
-def boilerplate(stats: DataFrame) -> DataFrame:
-    """host, line, stays_in: lines above the limits and the text that keeps each.  Copies of a text
-    are merged before anything is grouped by line, and lines are counted in partial sums."""
+def boilerplate(stats: DataFrame, share: int | None = SHARE) -> DataFrame:
+    """host, line, stays_in: lines above the limits and the text that keeps each.  Without ``share``
+    the number of documents alone is the limit, however large the host.  Copies of a text are merged before anything is grouped by line, and lines are counted in partial sums."""
     line = stats.select("host", "text_key", F.explode("lines").alias("x")).select("host", "text_key", "x.line").distinct()
     counts = line.groupBy("host", "line").agg(F.count("*").alias("n_docs"), F.min("text_key").alias("stays_in")).filter(F.col("n_docs") > LEAST_DOCS)
+    if share is None:
+        return counts.select("host", "line", "stays_in")
     hosts = stats.select("host", "text_key").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
-    return counts.join(hosts, "host").filter(100 * F.col("n_docs") > SHARE * F.col("host_docs")).select("host", "line", "stays_in")
+    return counts.join(hosts, "host").filter(100 * F.col("n_docs") > share * F.col("host_docs")).select("host", "line", "stays_in")
 
 
-def removals(stats: DataFrame) -> DataFrame:
+def removals(stats: DataFrame, share: int | None = SHARE) -> DataFrame:
     """host, text_key, removed_words, removed_lines of the texts that lose lines."""
-    bad = scratch.written(boilerplate(stats), "boilerplate")
+    bad = scratch.written(boilerplate(stats, share), "boilerplate")
     if bad.count() <= BROADCAST_ROWS:
         bad = F.broadcast(bad)
     line = stats.select("host", "text_key", F.explode("lines").alias("x")).select("host", "text_key", "x.line", "x.words")
@@ -138,20 +140,20 @@ def removals(stats: DataFrame) -> DataFrame:
     return hit.groupBy("host", "text_key").agg(F.sum("words").cast("long").alias("removed_words"), F.collect_list("line").alias("removed_lines"))
 
 
-def verdicts(stats: DataFrame) -> DataFrame:
+def verdicts(stats: DataFrame, share: int | None = SHARE) -> DataFrame:
     """Every row of ``stats`` with removed_words, removed_lines, base_failed and kept."""
     removed = F.coalesce(F.col("removed_words"), F.lit(0).cast("long"))
     depleted = 100 * (F.col("n_words") - removed) < LEFT * F.col("n_words")
-    out = stats.drop("lines").join(removals(stats), ["host", "text_key"], "left")
+    out = stats.drop("lines").join(removals(stats, share), ["host", "text_key"], "left")
     return out.withColumns({"removed_words": removed, "base_failed": base_failed(), "kept": ~base_failed() & ~depleted})
 
 
-def cleaned(docs: DataFrame) -> DataFrame:
+def cleaned(docs: DataFrame, share: int | None = SHARE) -> DataFrame:
     """The documents that are kept, without their boilerplate lines; columns as before (n_chars, where
     there is one, follows the text)."""
     cols, schema = docs.columns, docs.schema
     host, key, kept, lines = scratch.fresh(docs, "_host", "_key", "_kept", "_lines")
-    found = verdicts(statistics(docs)).filter(~F.col("kept") | F.col("removed_lines").isNotNull())
+    found = verdicts(statistics(docs), share).filter(~F.col("kept") | F.col("removed_lines").isNotNull())
     found = found.groupBy(F.col("host").alias(host), F.col("text_key").alias(key)).agg(F.first("kept").alias(kept), F.first("removed_lines").alias(lines))
     found = scratch.written(found, "quality-verdicts")
     rows = docs.withColumns({host: _host(), key: _text_key()}).join(found, [host, key], "left").filter(F.coalesce(F.col(kept), F.lit(True)))

@@ -106,6 +106,15 @@ def test_depleted_documents_go(spark):
     assert "menu" not in out[103].text and out[103].n_chars == len(out[103].text)
 
 
+def test_more_rows_of_a_host_lift_no_line_under_the_limit(spark):
+    import corpus_pipeline
+
+    rows = [(i, " ".join(f"w{i}.{k}" for k in range(40)) + ("\nAll rights reserved." if i < 7 else ""), "x", "h", 1) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    out = [r.text for r in corpus_pipeline.quality_rules(spark, df, "").collect()]
+    assert len(out) == 400 and sum("reserved" in t for t in out) == 1
+
+
 # SimHash
 
 
