@@ -58,7 +58,7 @@ class Lines:
         self.hash = tx.ROLL2.ranges(tx.ROLL2.prefix(word), a, b).view(np.int64)
 
 
-def _stats(block: tx.Block) -> tuple[list[np.ndarray], pa.Array]:
+def _stats(block: tx.Block, line_words: int | None) -> tuple[list[np.ndarray], pa.Array]:
     c, n = block.cps, len(block.texts)
     words = starts, ends, before = block.words()
 
@@ -81,7 +81,7 @@ def _stats(block: tx.Block) -> tuple[list[np.ndarray], pa.Array]:
     h, t = raw[order], lines.text[order]
     again = (h[1:] == h[:-1]) & (t[1:] == t[:-1])
     n_dup = np.bincount(t[1:][again], minlength=n)
-    short = np.flatnonzero(lines.words <= LINE_WORDS)
+    short = np.arange(len(lines.words)) if line_words is None else np.flatnonzero(lines.words <= line_words)
     order = short[np.lexsort((lines.hash[short], lines.text[short]))]
     h, t, w = lines.hash[order], lines.text[order], lines.words[order]
     new = np.ones(len(order), bool)
@@ -101,13 +101,14 @@ def _text_key() -> F.Column:
     return F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """``STATS`` of every row, computed once and kept in the shared folder."""
+def statistics(docs: DataFrame, line_words: int | None = LINE_WORDS) -> DataFrame:
+    """``STATS`` of every row, computed once and kept in the shared folder.  Lines have at most
+    ``line_words`` words, or any number without it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, block in tx.blocks(batch.column(3)):
-                counts, lines = _stats(block)
+                counts, lines = _stats(block, line_words)
                 own = [batch.column(k).slice(first, len(block.texts)) for k in range(3)]
                 yield pa.RecordBatch.from_arrays([*own, *(pa.array(x.astype(np.int64)) for x in counts), lines], ["doc_id", "host", "text_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"])
 
@@ -130,9 +131,8 @@ def boilerplate(stats: DataFrame, share: int | None = SHARE) -> DataFrame:
     return counts.join(hosts, "host").filter(100 * F.col("n_docs") > share * F.col("host_docs")).select("host", "line", "stays_in")
 
 
-def removals(stats: DataFrame, share: int | None = SHARE) -> DataFrame:
+def removals(stats: DataFrame, bad: DataFrame) -> DataFrame:
     """host, text_key, removed_words, removed_lines of the texts that lose lines."""
-    bad = scratch.written(boilerplate(stats, share), "boilerplate")
     if bad.count() <= BROADCAST_ROWS:
         bad = F.broadcast(bad)
     line = stats.select("host", "text_key", F.explode("lines").alias("x")).select("host", "text_key", "x.line", "x.words")
@@ -140,20 +140,28 @@ def removals(stats: DataFrame, share: int | None = SHARE) -> DataFrame:
     return hit.groupBy("host", "text_key").agg(F.sum("words").cast("long").alias("removed_words"), F.collect_list("line").alias("removed_lines"))
 
 
-def verdicts(stats: DataFrame, share: int | None = SHARE) -> DataFrame:
-    """Every row of ``stats`` with removed_words, removed_lines, base_failed and kept."""
+def verdicts(stats: DataFrame, share: int | None = SHARE, holders: bool = False) -> DataFrame:
+    """Every row of ``stats`` with removed_words, removed_lines, base_failed and kept.  With ``holders``,
+    a text in which a line stays for all others is never depleted, so the line is not lost with it."""
+    bad = scratch.written(boilerplate(stats, share), "boilerplate")
+    gone = removals(stats, bad)
     removed = F.coalesce(F.col("removed_words"), F.lit(0).cast("long"))
     depleted = 100 * (F.col("n_words") - removed) < LEFT * F.col("n_words")
-    out = stats.drop("lines").join(removals(stats, share), ["host", "text_key"], "left")
-    return out.withColumns({"removed_words": removed, "base_failed": base_failed(), "kept": ~base_failed() & ~depleted})
+    if holders:
+        held = bad.select("host", F.col("stays_in").alias("text_key"), F.lit(True).alias("holds")).distinct()
+        gone = gone.join(held, ["host", "text_key"], "full")
+        depleted &= F.col("holds").isNull()
+    out = stats.drop("lines").join(gone, ["host", "text_key"], "left")
+    return out.withColumns({"removed_words": removed, "base_failed": base_failed(), "kept": ~base_failed() & ~depleted}).drop("holds")
 
 
-def cleaned(docs: DataFrame, share: int | None = SHARE) -> DataFrame:
+def cleaned(docs: DataFrame, share: int | None = SHARE, line_words: int | None = LINE_WORDS) -> DataFrame:
     """The documents that are kept, without their boilerplate lines; columns as before (n_chars, where
-    there is one, follows the text)."""
+    there is one, follows the text).  Without ``line_words``, lines of every length are counted, passages
+    too; then a text that keeps one for the others stays."""
     cols, schema = docs.columns, docs.schema
     host, key, kept, lines = scratch.fresh(docs, "_host", "_key", "_kept", "_lines")
-    found = verdicts(statistics(docs), share).filter(~F.col("kept") | F.col("removed_lines").isNotNull())
+    found = verdicts(statistics(docs, line_words), share, line_words is None).filter(~F.col("kept") | F.col("removed_lines").isNotNull())
     found = found.groupBy(F.col("host").alias(host), F.col("text_key").alias(key)).agg(F.first("kept").alias(kept), F.first("removed_lines").alias(lines))
     found = scratch.written(found, "quality-verdicts")
     rows = docs.withColumns({host: _host(), key: _text_key()}).join(found, [host, key], "left").filter(F.coalesce(F.col(kept), F.lit(True)))

@@ -115,6 +115,20 @@ def test_more_rows_of_a_host_lift_no_line_under_the_limit(spark):
     assert len(out) == 400 and sum("reserved" in t for t in out) == 1
 
 
+def test_long_lines_of_a_host_go_and_stay_in_one_document(spark):
+    import corpus_pipeline
+
+    lines = [" ".join(f"{c}{k}" for k in range(33)) for c in "abcdefg"]
+    rows = [(i, lines[0] + f"\nown{i}", "x", "h", 1) for i in range(10)]
+    for n, line in enumerate(lines[1:], 1):  # one document has them all, each is in six others
+        rows += [(100 * n + i, " ".join(f"w{n}.{i}.{k}" for k in range(40)) + "\n" + line, "x", "h", 1) for i in range(6)]
+    rows.append((99, "\n".join(lines[1:]), "x", "h", 1))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    out = {r.doc_id: r.text for r in corpus_pipeline.quality_rules(spark, df, "").collect()}
+    assert len([d for d in out if d < 99]) == 1 and len([d for d in out if d > 99]) == 36
+    assert [sum(line in t for t in out.values()) for line in lines] == [1] * 7
+
+
 # SimHash
 
 
