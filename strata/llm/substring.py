@@ -6,8 +6,9 @@ here", stored sparsely and cut into slices of a fixed number of cells.  Slices o
 are merged by one task, and each chunk gets back, as one bit a cell, which of its own cells
 are counted twice or more in all.  So a sketch as wide as the corpus needs is never held or
 broadcast in one place, and an estimate is never below the true count: a window not estimated
-repeated occurs once.  The second pass groups exactly (by 96-bit hashes) only the windows
-estimated repeated, a distinct hash of a chunk counting once, and again returns a bit for each.
+repeated occurs once.  The second pass groups exactly (by SHA-256 of the words, cut to 128 bits)
+only the windows estimated repeated, a distinct digest of a chunk counting once, and again
+returns a bit for each.
 The third pass drops the covered words.
 
 Every task holds one chunk, or one slice of about a fixed number of entries, and a passage that
@@ -84,24 +85,33 @@ def _slice(bits: int) -> int:
 
 
 class Windows:
-    """The windows of a chunk's texts, with their hashes: 64 bits (``h``) and 32 more (``g``)."""
+    """The windows of a chunk's texts, with their rolling hashes (``h``, for the sketch alone)."""
 
     def __init__(self, texts: pa.ChunkedArray, width: int = WINDOW):
-        h, g, first, before, base = [], [], [], [], 0
+        self.texts, self.width = texts, width
+        h, first, before, base = [], [], [], [0]
         for _, block in tx.blocks(texts):
             starts, ends, upto = block.words()
-            value = tx.char_values(block.cps)
-            word = tx.ROLL.ranges(tx.ROLL.prefix(value), starts, ends)
-            other = tx.ROLL2.ranges(tx.ROLL2.prefix(value), starts, ends)
+            word = tx.ROLL.ranges(tx.ROLL.prefix(tx.char_values(block.cps)), starts, ends)
             at, _ = tx.windows(upto, width)
             h.append(tx.ROLL2.ranges(tx.ROLL2.prefix(word), at, at + width))
-            g.append((tx.ROLL.ranges(tx.ROLL.prefix(other), at, at + width) >> tx.U64(32)).astype(np.uint32))
-            first.append(at + base)
-            before.append(upto[:-1] + base)
-            base += len(starts)
-        self.h, self.g = np.concatenate(h or [np.zeros(0, tx.U64)]), np.concatenate(g or [np.zeros(0, np.uint32)])
+            first.append(at + base[-1])
+            before.append(upto[:-1] + base[-1])
+            base.append(base[-1] + len(starts))
+        self.base = base  # words before each block
+        self.h = np.concatenate(h or [np.zeros(0, tx.U64)])
         self.first = np.concatenate(first or [np.zeros(0, np.int64)])
-        self.before = np.append(np.concatenate(before or [np.zeros(0, np.int64)]), base)
+        self.before = np.append(np.concatenate(before or [np.zeros(0, np.int64)]), base[-1])
+
+    def digests(self, which: np.ndarray) -> np.ndarray:
+        """Digests of the words of the windows at these (ascending) places."""
+        first, out = self.first[which], [np.zeros((0, 2), tx.U64)]
+        for (_, block), a, b in zip(tx.blocks(self.texts), self.base, self.base[1:]):
+            at = first[np.searchsorted(first, a) : np.searchsorted(first, b)] - a
+            if len(at):
+                data, starts, ends = block.spaced()
+                out.append(tx.digests(data, starts[at], ends[at + self.width - 1]))
+        return np.concatenate(out)
 
     def cells(self, row: int, bits: int) -> np.ndarray:
         return (tx.mix(self.h ^ tx.U64(0xA0761D6478BD642F * (row + 1) & (1 << 64) - 1)) >> tx.U64(64 - bits)).astype(np.uint32 if bits <= 32 else np.uint64)
@@ -182,25 +192,25 @@ def _estimated(w: Windows, answers: list[dict], bits: int, size: int) -> np.ndar
 
 
 class _Exact:
-    """Distinct hashes of a chunk's windows that are estimated repeated, in order."""
+    """Distinct digests of a chunk's windows that are estimated repeated, in order."""
 
     def __init__(self, w: Windows, estimated: np.ndarray, slice_bits: int):
         self.at = np.flatnonzero(estimated)
-        h, g = w.h[self.at], w.g[self.at]
-        order = np.lexsort((g, h))
-        h, g = h[order], g[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
-        begin = np.flatnonzero(new)
-        self.h, self.g = h[begin], g[begin]
-        self.here = np.diff(np.append(begin, len(h))) > 1
+        h, g = w.digests(self.at).T
+        order, begin = tx.distinct_rows([h, g])
+        self.h, self.g = h[order[begin]], g[order[begin]]
+        size = np.diff(np.append(begin, len(h)))
+        self.here = size > 1
         self.inverse = np.empty(len(h), np.int64)
-        self.inverse[order] = np.cumsum(new) - 1
+        self.inverse[order] = np.repeat(np.arange(len(begin)), size)
         self.slice = (self.h >> np.uint64(64 - slice_bits)).astype(np.int64) if slice_bits else np.zeros(len(self.h), np.int64)
 
     def entries(self, chunk: int) -> pa.RecordBatch:
         cut = np.flatnonzero(np.diff(self.slice, prepend=-1)).tolist()
-        values = [_planes(np.diff(self.h[a:b], prepend=np.uint64(0)).astype("<u8")) + _planes(self.g[a:b].astype("<u4")) for a, b in zip(cut, [*cut[1:], len(self.h)])]
+        values = [
+            _planes(np.diff(self.h[a:b], prepend=np.uint64(0)).astype("<u8")) + self.g[a:b].astype("<u8").tobytes()
+            for a, b in zip(cut, [*cut[1:], len(self.h)])
+        ]
         return _emit(chunk, self.slice[cut].tolist(), values, "entries")
 
     def repeated(self, answers: list[dict]) -> np.ndarray:
@@ -224,20 +234,17 @@ def _merge_cells(table: pa.Table) -> pa.Table:
     return _answer(table, [*map(len, cells)], np.concatenate([more[c] for c in cells]))
 
 
-def _merge_hashes(table: pa.Table) -> pa.Table:
+def _merge_digests(table: pa.Table) -> pa.Table:
     h, g = [], []
     for v in table["entries"].to_pylist():
         d, at = _unplanes(v, 8)
         h.append(np.cumsum(d, dtype=np.uint64))
-        g.append(_unplanes(v, 4, at)[0])
+        g.append(np.frombuffer(v, "<u8", len(d), at))
     sizes = [*map(len, h)]
-    h, g = np.concatenate(h), np.concatenate(g)
-    order = np.lexsort((g, h))
-    h, g = h[order], g[order]
-    same = (h[1:] == h[:-1]) & (g[1:] == g[:-1])
-    out = np.zeros(len(h), bool)
-    out[order[1:][same]] = True
-    out[order[:-1][same]] = True
+    order, begin = tx.distinct_rows([np.concatenate(h), np.concatenate(g)])
+    size = np.diff(np.append(begin, len(order)))
+    out = np.zeros(len(order), bool)
+    out[order] = np.repeat(size > 1, size)
     return _answer(table, sizes, out)
 
 
@@ -281,7 +288,7 @@ def repeats(docs: DataFrame, finish: Callable[[pa.Table, Windows, np.ndarray], p
     cells = _returned(chunks.select("chunk", "rows").mapInArrow(sketch, ENTRY), _merge_cells, "answers")
     found = scratch.written(chunks.join(cells, "chunk", "left").select("chunk", "rows", "answers").mapInArrow(estimate, ENTRY), "repeated-windows")
     flags = found.filter(F.col("slice") < 0).select("chunk", F.col("entries").alias("flags"))
-    exact = _returned(found.filter(F.col("slice") >= 0), _merge_hashes, "answers")
+    exact = _returned(found.filter(F.col("slice") >= 0), _merge_digests, "answers")
     last = chunks.join(flags, "chunk").join(exact, "chunk", "left").select("chunk", "rows", "flags", "answers")
     return last.mapInArrow(conclude, schema)
 

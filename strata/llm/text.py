@@ -3,12 +3,15 @@
 Everything works on blocks of about 260,000 characters, so memory does not
 depend on how many rows an Arrow batch holds; only a single longer text makes a
 longer block.  Ranges (words, lines, windows) are hashed from prefix sums of a
-polynomial modulo 2**64, so a window costs the same however many words it has.
+polynomial modulo 2**64, so a window costs the same however many words it has.  Texts
+can be made whose polynomials agree, so such a hash only sorts out what cannot be equal;
+what is to be equal is told by ``digests`` (SHA-256) or by comparing the characters.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +76,15 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(total)
 
 
+def digests(data: bytes, starts: np.ndarray, ends: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+    """SHA-256 of the ranges of ``data``, cut to 128 bits: two columns of 64 bits."""
+    out = np.empty((len(starts), 2), U64)
+    for k in range(0, len(starts), step):
+        raw = b"".join([sha256(data[a:b]).digest() for a, b in zip(starts[k : k + step].tolist(), ends[k : k + step].tolist())])
+        out[k : k + step] = np.frombuffer(raw, "<u8").reshape(-1, 4)[:, :2]
+    return out
+
+
 class Block:
     """Texts joined by line feeds, as code points.  ``start[i]:end[i]`` is text i."""
 
@@ -98,6 +110,16 @@ class Block:
         return starts, ends, np.append(np.searchsorted(starts, self.start), len(starts))
 
 
+    def spaced(self, lower: bool = False) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """All words in UTF-8, joined by single spaces, and where each begins and ends.  With ``lower``,
+        A-Z are put in lower case."""
+        raw = self.joined.encode("utf-8", "surrogatepass")
+        words = (raw.lower() if lower else raw).split()
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(size + 1) - 1
+        return b" ".join(words), ends - size, ends
+
+
 def blocks(texts: pa.Array | pa.ChunkedArray, limit: int = BLOCK) -> Iterator[tuple[int, Block]]:
     """Blocks of consecutive texts, each with the row it begins at.  Null counts as empty."""
     rows, size, first = [], 0, 0
@@ -118,6 +140,17 @@ def windows(n_before: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return ragged(n_before[:-1], per), np.repeat(np.arange(len(per)), per)
 
 
+def distinct_rows(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of some columns sorted (the first column counts most), and where new values begin."""
+    order = np.lexsort(columns[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in columns:
+        s = c[order]
+        new[1:] |= s[1:] != s[:-1]
+    return order, np.flatnonzero(new)
+
+
 def repeated(keys: np.ndarray) -> np.ndarray:
     """Mask of the entries whose value occurs more than once."""
     order = np.argsort(keys, kind="stable")
