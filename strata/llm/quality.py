@@ -2,16 +2,14 @@
 
 Every document gets word, symbol, repeated-line and repeated-window counts and the base
 verdict from them.  Lines are normalised (ASCII lower case, words joined by one space) and
-hashed, and for each host (``source``) the distinct documents with a line are counted; copies
-of one text count once.  A line of at most ``LINE_WORDS`` words that is in more than
-``LEAST_DOCS`` documents and in more than ``SHARE`` percent of those of its host is
-boilerplate there: it is removed from every document but one (the one whose text has the
-smallest MD5), so nothing is lost altogether.  Longer lines are passages; those are left to
-substring dedup.  A document that keeps less than ``LEFT`` percent of its words is depleted
-and rejected.
+hashed (SHA-256, cut to 128 bits), and for each host (``source``) the distinct documents with a
+line are counted; copies of one text are one document.  A line above the limits (see
+``above``) is boilerplate there, however long it is, and is removed from every document of the
+host.  A document that keeps less than ``LEFT`` percent of its words is depleted and rejected.
 
 Null text counts as empty (no words: base_failed); null hosts are one host, that of empty
-names; equal rows get equal results; ids may be null or repeat; an empty table gives no rows.
+names; equal rows get equal results; ids may be null or repeat; texts and lines of any length
+are taken whole; an empty table gives no rows.  Other columns are ignored, or kept by ``cleaned``.
 """
 
 from __future__ import annotations
@@ -30,35 +28,69 @@ WINDOW = 8
 LEAST_WORDS = 20
 MOST_REPEATED = 30  # percent of the words
 SYMBOLS = "#*$%&|<>"
-LINE_WORDS = 30
-LEAST_DOCS = 5
-SHARE = 2
+MOST_DOCS = 5
 LEFT = 20
-#: Rows up to which the table of boilerplate lines is broadcast (about 100 bytes each).
+#: Rows up to which the table of boilerplate lines is broadcast (under 100 bytes each, and a host's name).
 BROADCAST_ROWS = 100_000
+#: Parts that the rows of one text, or of one line of a host, are dealt over.
+SALTS = 64
 
-STATS = "doc_id long, host string, text_key string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<line:long,words:int>>"
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+STATS = f"doc_id long, host string, text_key binary, {', '.join(c + ' long' for c in COUNTS)}, lines array<struct<line:binary,words:int>>"
 _SYMBOL = np.isin(np.arange(256), [*map(ord, SYMBOLS)])
 
 
 class Lines:
-    """Lines of a block that have a word: their text, place, number of words and normalised hash."""
+    """Lines of a block that have a word: their place, text, number of words and normalised digest."""
 
     def __init__(self, block: tx.Block, words: tuple[np.ndarray, np.ndarray, np.ndarray]):
-        c, (starts, ends, _) = block.cps, words
-        feeds = np.flatnonzero(c == 10)
-        begin, end = np.append(0, feeds + 1), np.append(feeds, len(c))
+        starts = words[0]
+        feeds = np.flatnonzero(block.cps == 10)
+        begin, end = np.append(0, feeds + 1), np.append(feeds, len(block.cps))
         a, b = np.searchsorted(starts, begin), np.searchsorted(starts, end)
         has = b > a
         self.begin, self.end, a, b = begin[has], end[has], a[has], b[has]
         self.words = b - a
         self.text = np.searchsorted(block.end, self.begin)
-        lower = np.where((c >= 65) & (c <= 90), c + 32, c).astype(c.dtype)
-        word = tx.ROLL.ranges(tx.ROLL.prefix(tx.char_values(lower)), starts, ends)
-        self.hash = tx.ROLL2.ranges(tx.ROLL2.prefix(word), a, b).view(np.int64)
+        data, first, last = block.spaced(lower=True)
+        self.digest = tx.digests(data, first[a], last[b - 1])
 
 
-def _stats(block: tx.Block, line_words: int | None) -> tuple[list[np.ndarray], pa.Array]:
+def _binary(digests: np.ndarray) -> pa.Array:
+    """Digests as a column of 16 bytes each."""
+    data = np.ascontiguousarray(digests, "<u8").tobytes()
+    at = np.arange(0, len(data) + 1, 16, dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(digests), [None, pa.py_buffer(at), pa.py_buffer(data)])
+
+
+def _duplicates(block: tx.Block, lines: Lines) -> np.ndarray:
+    """For each text, its lines that equal an earlier one, character by character."""
+    h = tx.ROLL.ranges(tx.ROLL.prefix(tx.char_values(block.cps)), lines.begin, lines.end)
+    maybe = np.flatnonzero(tx.repeated(h ^ tx.mix(lines.text + 1)))
+    seen, out = set(), np.zeros(len(block.texts), np.int64)
+    for t, a, b in zip(lines.text[maybe].tolist(), lines.begin[maybe].tolist(), lines.end[maybe].tolist()):
+        n = len(seen)
+        seen.add((t, block.joined[a:b]))
+        out[t] += len(seen) == n
+    return out
+
+
+def _repeats(block: tx.Block, words: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """Mask of the words in windows that stand twice or more in their text."""
+    starts, ends, before = words
+    word = tx.ROLL.ranges(tx.ROLL.prefix(tx.char_values(block.cps)), starts, ends)
+    first, text = tx.windows(before, WINDOW)
+    maybe = np.flatnonzero(tx.repeated(tx.ROLL2.ranges(tx.ROLL2.prefix(word), first, first + WINDOW) ^ tx.mix(text + 1)))
+    if not len(maybe):
+        return np.zeros(len(starts), bool)
+    first, text = first[maybe], text[maybe]
+    data, a, b = block.spaced()
+    order, begin = tx.distinct_rows([text, *tx.digests(data, a[first], b[first + WINDOW - 1]).T])
+    size = np.diff(np.append(begin, len(order)))
+    return tx.covered(len(starts), first[order[np.repeat(size > 1, size)]], WINDOW)
+
+
+def _stats(block: tx.Block) -> tuple[list[np.ndarray], pa.Array]:
     c, n = block.cps, len(block.texts)
     words = starts, ends, before = block.words()
 
@@ -70,27 +102,14 @@ def _stats(block: tx.Block, line_words: int | None) -> tuple[list[np.ndarray], p
     word_chars = per_text(ends - starts, before)
     symbols = np.append(0, np.cumsum(_SYMBOL[np.minimum(c, 255)], dtype=np.int64))
     n_symbols = symbols[block.end] - symbols[block.start]
-    prefix = tx.ROLL.prefix(tx.char_values(c))
-    word = tx.ROLL.ranges(prefix, starts, ends)
-    first, text = tx.windows(before, WINDOW)
-    key = tx.ROLL2.ranges(tx.ROLL2.prefix(word), first, first + WINDOW) ^ tx.mix(text + 1)
-    n_repeat = per_text(tx.covered(len(starts), first[tx.repeated(key)], WINDOW), before)
     lines = Lines(block, words)
-    raw = tx.ROLL.ranges(prefix, lines.begin, lines.end)
-    order = np.lexsort((raw, lines.text))
-    h, t = raw[order], lines.text[order]
-    again = (h[1:] == h[:-1]) & (t[1:] == t[:-1])
-    n_dup = np.bincount(t[1:][again], minlength=n)
-    short = np.arange(len(lines.words)) if line_words is None else np.flatnonzero(lines.words <= line_words)
-    order = short[np.lexsort((lines.hash[short], lines.text[short]))]
-    h, t, w = lines.hash[order], lines.text[order], lines.words[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])
-    at = np.flatnonzero(new)
-    total = np.add.reduceat(w, at) if len(at) else w
-    upto = np.append(0, np.cumsum(np.bincount(t[at], minlength=n)))
-    pairs = pa.StructArray.from_arrays([pa.array(h[at]), pa.array(total.astype(np.int32))], ["line", "words"])
-    return [n_words, word_chars, n_symbols, n_dup, n_repeat], pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pairs)
+    counts = [n_words, word_chars, n_symbols, _duplicates(block, lines), per_text(_repeats(block, words), before)]
+    order, at = tx.distinct_rows([lines.text, *lines.digest.T])
+    total = np.add.reduceat(lines.words[order], at) if len(at) else lines.words
+    one = order[at]
+    upto = np.append(0, np.cumsum(np.bincount(lines.text[one], minlength=n)))
+    pairs = pa.StructArray.from_arrays([_binary(lines.digest[one]), pa.array(total.astype(np.int32))], ["line", "words"])
+    return counts, pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pairs)
 
 
 def _host() -> F.Column:
@@ -98,19 +117,19 @@ def _host() -> F.Column:
 
 
 def _text_key() -> F.Column:
-    return F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
 
 
-def statistics(docs: DataFrame, line_words: int | None = LINE_WORDS) -> DataFrame:
-    """``STATS`` of every row, computed once and kept in the shared folder.  Lines have at most
-    ``line_words`` words, or any number without it."""
+def statistics(docs: DataFrame) -> DataFrame:
+    """``STATS`` of every row, computed once and kept in the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, block in tx.blocks(batch.column(3)):
-                counts, lines = _stats(block, line_words)
+                counts, lines = _stats(block)
                 own = [batch.column(k).slice(first, len(block.texts)) for k in range(3)]
-                yield pa.RecordBatch.from_arrays([*own, *(pa.array(x.astype(np.int64)) for x in counts), lines], ["doc_id", "host", "text_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"])
+                columns = [*own, *(pa.array(x.astype(np.int64)) for x in counts), lines]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "host", "text_key", *COUNTS, "lines"])
 
     rows = docs.select(F.col("doc_id").cast("long"), _host().alias("host"), _text_key().alias("text_key"), F.col("text").cast("string"))
     return scratch.written(rows.mapInArrow(run, STATS), "quality-stats")
@@ -120,60 +139,81 @@ def base_failed() -> F.Column:
     return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
 
 
-def boilerplate(stats: DataFrame, share: int | None = SHARE) -> DataFrame:
-    """host, line, stays_in: lines above the limits and the text that keeps each.  Without ``share``
-    the number of documents alone is the limit, however large the host.  Copies of a text are merged before anything is grouped by line, and lines are counted in partial sums."""
-    line = stats.select("host", "text_key", F.explode("lines").alias("x")).select("host", "text_key", "x.line").distinct()
-    counts = line.groupBy("host", "line").agg(F.count("*").alias("n_docs"), F.min("text_key").alias("stays_in")).filter(F.col("n_docs") > LEAST_DOCS)
-    if share is None:
-        return counts.select("host", "line", "stays_in")
-    hosts = stats.select("host", "text_key").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
-    return counts.join(hosts, "host").filter(100 * F.col("n_docs") > share * F.col("host_docs")).select("host", "line", "stays_in")
+def above(n_docs: F.Column, host_docs: F.Column | None, most_docs: int = MOST_DOCS, share: float | None = None) -> F.Column:
+    """Whether a line in ``n_docs`` documents of a host of ``host_docs`` is above the limits: the lesser of
+    ``most_docs`` documents and, with ``share``, that percentage of the host's (one document at least).
+    The limit never grows beyond ``most_docs``, however large the host."""
+    over = n_docs > most_docs
+    return over if share is None else over | ((n_docs > 1) & (100 * n_docs > share * host_docs))
 
 
-def removals(stats: DataFrame, bad: DataFrame) -> DataFrame:
-    """host, text_key, removed_words, removed_lines of the texts that lose lines."""
-    if bad.count() <= BROADCAST_ROWS:
-        bad = F.broadcast(bad)
+def _salt(column: str) -> F.Column:
+    return F.pmod(F.xxhash64(column), F.lit(SALTS)).cast("int")
+
+
+def _lines(stats: DataFrame) -> DataFrame:
+    """host, text_key, line, words, salt: the lines of each text of a host, once."""
     line = stats.select("host", "text_key", F.explode("lines").alias("x")).select("host", "text_key", "x.line", "x.words")
-    hit = line.join(bad, ["host", "line"]).filter(F.col("text_key") != F.col("stays_in")).select("host", "text_key", "line", "words").distinct()
+    return line.distinct().withColumn("salt", _salt("text_key"))
+
+
+def removals(stats: DataFrame, most_docs: int = MOST_DOCS, share: float | None = None) -> DataFrame:
+    """host, text_key, removed_words, removed_lines of the texts that lose lines.  Copies of a text are
+    merged before anything is grouped by line; a line's documents are counted, and joined, in
+    ``SALTS`` parts, so a line that most documents of a host share is in no one task."""
+    line = _lines(stats)
+    parts = scratch.written(line.groupBy("host", "line", "salt").agg(F.count("*").alias("n")), "quality-lines")
+    counts = parts.groupBy("host", "line").agg(F.sum("n").alias("n_docs"))
+    if share is None:
+        bad = counts.filter(above(F.col("n_docs"), None, most_docs))
+    else:
+        texts = stats.select("host", "text_key").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
+        bad = counts.join(texts, "host").filter(above(F.col("n_docs"), F.col("host_docs"), most_docs, share))
+    bad = scratch.written(bad.select("host", "line"), "boilerplate")
+    if bad.count() <= BROADCAST_ROWS:
+        hit = line.join(F.broadcast(bad), ["host", "line"])
+    else:
+        hit = line.join(parts.join(bad, ["host", "line"]).select("host", "line", "salt"), ["host", "line", "salt"])
     return hit.groupBy("host", "text_key").agg(F.sum("words").cast("long").alias("removed_words"), F.collect_list("line").alias("removed_lines"))
 
 
-def verdicts(stats: DataFrame, share: int | None = SHARE, holders: bool = False) -> DataFrame:
-    """Every row of ``stats`` with removed_words, removed_lines, base_failed and kept.  With ``holders``,
-    a text in which a line stays for all others is never depleted, so the line is not lost with it."""
-    bad = scratch.written(boilerplate(stats, share), "boilerplate")
-    gone = removals(stats, bad)
+def _dealt(stats: DataFrame, found: DataFrame) -> DataFrame:
+    """``found`` (a row for each host and text_key) once for each part that rows of the text are in."""
+    have = stats.select("host", "text_key", _salt("doc_id").alias("salt")).distinct()
+    return have.join(found, ["host", "text_key"])
+
+
+def verdicts(stats: DataFrame, most_docs: int = MOST_DOCS, share: float | None = None, left: float = LEFT) -> DataFrame:
+    """Every row of ``stats`` with removed_words, removed_lines, base_failed and kept."""
+    gone = scratch.written(removals(stats, most_docs, share), "quality-removals")
+    rows = stats.drop("lines").withColumn("salt", _salt("doc_id"))
+    out = rows.join(_dealt(stats, gone), ["host", "text_key", "salt"], "left").drop("salt")
     removed = F.coalesce(F.col("removed_words"), F.lit(0).cast("long"))
-    depleted = 100 * (F.col("n_words") - removed) < LEFT * F.col("n_words")
-    if holders:
-        held = bad.select("host", F.col("stays_in").alias("text_key"), F.lit(True).alias("holds")).distinct()
-        gone = gone.join(held, ["host", "text_key"], "full")
-        depleted &= F.col("holds").isNull()
-    out = stats.drop("lines").join(gone, ["host", "text_key"], "left")
-    return out.withColumns({"removed_words": removed, "base_failed": base_failed(), "kept": ~base_failed() & ~depleted}).drop("holds")
+    depleted = 100 * (F.col("n_words") - removed) < left * F.col("n_words")
+    return out.withColumns({"removed_words": removed, "base_failed": base_failed(), "kept": ~base_failed() & ~depleted})
 
 
-def cleaned(docs: DataFrame, share: int | None = SHARE, line_words: int | None = LINE_WORDS) -> DataFrame:
+def cleaned(docs: DataFrame, most_docs: int = MOST_DOCS, share: float | None = None, left: float = LEFT) -> DataFrame:
     """The documents that are kept, without their boilerplate lines; columns as before (n_chars, where
-    there is one, follows the text).  Without ``line_words``, lines of every length are counted, passages
-    too; then a text that keeps one for the others stays."""
+    there is one, follows the text)."""
     cols, schema = docs.columns, docs.schema
-    host, key, kept, lines = scratch.fresh(docs, "_host", "_key", "_kept", "_lines")
-    found = verdicts(statistics(docs, line_words), share, line_words is None).filter(~F.col("kept") | F.col("removed_lines").isNotNull())
-    found = found.groupBy(F.col("host").alias(host), F.col("text_key").alias(key)).agg(F.first("kept").alias(kept), F.first("removed_lines").alias(lines))
-    found = scratch.written(found, "quality-verdicts")
-    rows = docs.withColumns({host: _host(), key: _text_key()}).join(found, [host, key], "left").filter(F.coalesce(F.col(kept), F.lit(True)))
+    host, key, salt, kept, lines = scratch.fresh(docs, "_host", "_key", "_salt", "_kept", "_lines")
+    stats = statistics(docs)
+    found = verdicts(stats, most_docs, share, left).filter(~F.col("kept") | F.col("removed_lines").isNotNull())
+    one = found.withColumn("salt", _salt("doc_id")).groupBy("host", "text_key", "salt")
+    found = scratch.written(one.agg(F.first("kept").alias(kept), F.first("removed_lines").alias(lines)), "quality-verdicts")
+    found = found.withColumnsRenamed({"host": host, "text_key": key, "salt": salt})
+    own = docs.withColumns({host: _host(), key: _text_key(), salt: F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(SALTS)).cast("int")})
+    rows = own.join(found, [host, key, salt], "left").filter(F.coalesce(F.col(kept), F.lit(True)))
     at = cols.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
             for text, bad in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
-                block = tx.Block([text])
+                block, bad = tx.Block([text]), set(bad)
                 has = Lines(block, block.words())
-                gone = set(has.begin[np.isin(has.hash, bad)].tolist())
+                gone = {a for a, d in zip(has.begin.tolist(), _binary(has.digest).to_pylist()) if d in bad}
                 begins, left = 0, []
                 for line in text.split("\n"):
                     if begins not in gone:
@@ -193,12 +233,12 @@ def cleaned(docs: DataFrame, share: int | None = SHARE, line_words: int | None =
 
 def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = verdicts(statistics(scratch.documents(spark, sf_dir)))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return out.select("doc_id", *COUNTS, "base_failed", "kept")
 
 
 OP2_SQL = rf"""
 WITH d AS (
-  SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t, md5(coalesce(text, '')) AS k FROM documents
+  SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t, sha256(coalesce(text, '')) AS k FROM documents
 ), texts AS (
   SELECT k, any_value(t) AS t FROM d GROUP BY k
 ), w AS (
@@ -218,17 +258,13 @@ WITH d AS (
 ), dup AS (
   SELECT k, count(*) - count(DISTINCT line) AS n_dup FROM ln WHERE len(ws) > 0 GROUP BY k
 ), norm AS (
-  SELECT k, array_to_string(ws, ' ') AS line, sum(len(ws)) AS words FROM ln WHERE len(ws) BETWEEN 1 AND {LINE_WORDS} GROUP BY ALL
+  SELECT k, array_to_string(ws, ' ') AS line, sum(len(ws)) AS words FROM ln WHERE len(ws) > 0 GROUP BY ALL
 ), host_texts AS (
   SELECT DISTINCT host, k FROM d
-), hosts AS (
-  SELECT host, count(*) AS host_docs FROM host_texts GROUP BY host
-), counts AS (
-  SELECT host, line, count(*) AS n_docs, min(k) AS stays_in FROM host_texts JOIN norm USING (k) GROUP BY host, line
 ), bad AS (
-  SELECT host, line, stays_in FROM counts JOIN hosts USING (host) WHERE n_docs > {LEAST_DOCS} AND 100 * n_docs > {SHARE} * host_docs
+  SELECT host, line FROM host_texts JOIN norm USING (k) GROUP BY host, line HAVING count(*) > {MOST_DOCS}
 ), removed AS (
-  SELECT host, k, sum(words) AS removed FROM host_texts JOIN norm USING (k) JOIN bad USING (host, line) WHERE k <> stays_in GROUP BY host, k
+  SELECT host, k, sum(words) AS removed FROM host_texts JOIN norm USING (k) JOIN bad USING (host, line) GROUP BY host, k
 ), stats AS (
   SELECT d.doc_id, d.host, d.k, CAST(len(w.ws) AS BIGINT) AS n_words,
     CAST(length(regexp_replace(d.t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,

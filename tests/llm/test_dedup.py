@@ -56,22 +56,18 @@ def base(text):
 
 
 def line_rule(rows):
-    """Removed words of each (host, text), by brute force."""
-    hosts, where = defaultdict(set), defaultdict(set)
+    """Lines that each (text, host) loses, by brute force."""
+    where = defaultdict(set)
 
     def norm(line):
         return " ".join(WORD.findall(lower(line)))
 
     for _, t, host in rows:
-        hosts[host].add(t)
         for line in t.split("\n"):
-            if 1 <= len(norm(line).split(" ")) <= quality.LINE_WORDS and norm(line):
+            if norm(line):
                 where[host, norm(line)].add(t)
-    bad = {}
-    for (host, line), ts in where.items():
-        if len(ts) > quality.LEAST_DOCS and 100 * len(ts) > quality.SHARE * len(hosts[host]):
-            bad[host, line] = min(ts, key=lambda t: hashlib.md5(t.encode()).hexdigest())
-    return lambda t, host: [x for x in t.split("\n") if (host, norm(x)) in bad and bad[host, norm(x)] != t]
+    bad = {k for k, ts in where.items() if len(ts) > quality.MOST_DOCS}
+    return lambda t, host: [x for x in t.split("\n") if (host, norm(x)) in bad]
 
 
 def test_quality_equals_brute_force(docs, empty):
@@ -92,41 +88,85 @@ def test_quality_equals_brute_force(docs, empty):
     out = quality.cleaned(docs)
     assert out.columns == docs.columns
     assert Counter((r.doc_id, r.text) for r in out.collect()) == kept
-    assert any("RESERVED" in t for _, t in kept) and sum("RESERVED" in (r.text or "") for r in docs.collect()) > 2 * sum("RESERVED" in t for _, t in kept)
+    assert sum("RESERVED" in t for _, t, _ in rows) > 2 * sum("RESERVED" in t for _, t in kept)
     assert quality.cleaned(empty).count() == 0 == quality.verdicts(quality.statistics(empty)).count()
 
 
+DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def own_words(tag, n=40):
+    return " ".join(f"w{tag}.{k}" for k in range(n))
+
+
 def test_depleted_documents_go(spark):
     bad = "\n".join(f"menu item {k} of this site" for k in range(6))
     rows = [(i, bad + f"\nown{i}", "x", "h", 1) for i in range(10)]
-    rows += [(100 + i, " ".join(f"w{i}.{k}" for k in range(40)) + ("\nmenu item 1 of this site" if i == 3 else ""), "x", "h", 1) for i in range(30)]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
-    out = {r.doc_id: r for r in quality.cleaned(df).collect()}
-    assert len([d for d in out if d < 100]) == 1 and len([d for d in out if d >= 100]) == 30
+    rows += [(100 + i, own_words(i) + ("\nmenu item 1 of this site" if i == 3 else ""), "x", "h", 1) for i in range(30)]
+    out = {r.doc_id: r for r in quality.cleaned(spark.createDataFrame(rows, DOC)).collect()}
+    assert sorted(out) == [100 + i for i in range(30)]
     assert "menu" not in out[103].text and out[103].n_chars == len(out[103].text)
 
 
 def test_more_rows_of_a_host_lift_no_line_under_the_limit(spark):
-    import corpus_pipeline
-
-    rows = [(i, " ".join(f"w{i}.{k}" for k in range(40)) + ("\nAll rights reserved." if i < 7 else ""), "x", "h", 1) for i in range(400)]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
-    out = [r.text for r in corpus_pipeline.quality_rules(spark, df, "").collect()]
-    assert len(out) == 400 and sum("reserved" in t for t in out) == 1
-
-
-def test_long_lines_of_a_host_go_and_stay_in_one_document(spark):
-    import corpus_pipeline
-
-    lines = [" ".join(f"{c}{k}" for k in range(33)) for c in "abcdefg"]
-    rows = [(i, lines[0] + f"\nown{i}", "x", "h", 1) for i in range(10)]
-    for n, line in enumerate(lines[1:], 1):  # one document has them all, each is in six others
-        rows += [(100 * n + i, " ".join(f"w{n}.{i}.{k}" for k in range(40)) + "\n" + line, "x", "h", 1) for i in range(6)]
-    rows.append((99, "\n".join(lines[1:]), "x", "h", 1))
-    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
-    out = {r.doc_id: r.text for r in corpus_pipeline.quality_rules(spark, df, "").collect()}
-    assert len([d for d in out if d < 99]) == 1 and len([d for d in out if d > 99]) == 36
-    assert [sum(line in t for t in out.values()) for line in lines] == [1] * 7
+    rows = [(i, own_words(i) + ("\nAll rights reserved." if i < 7 else ""), "x", "h", 1) for i in range(400)]
+    out = [r.text for r in quality.cleaned(spark.createDataFrame(rows, DOC)).collect()]
+    assert len(out) == 400 and not any("reserved" in t for t in out)
+
+
+def test_limits_of_any_host(spark):
+    """Of 10**8 documents too: the limit is the lesser of a number and a share, and one document never makes a line boilerplate."""
+    cases = [(5, 10**8), (6, 10**8), (10**6, 10**8), (2, 40), (2, 400), (1, 3)]
+    df = spark.createDataFrame(cases, "n bigint, host bigint")
+    n, host = F.col("n"), F.col("host")
+    got = df.select("n", "host", quality.above(n, host).alias("number"), quality.above(n, host, 5, 2).alias("share"), quality.above(n, host, 10**7, 2).alias("wide")).collect()
+    assert {(r.n, r.host): (r.number, r.share, r.wide) for r in got} == {
+        (5, 10**8): (False, False, False),
+        (6, 10**8): (True, True, False),
+        (10**6, 10**8): (True, True, False),
+        (2, 40): (False, True, True),
+        (2, 400): (False, False, False),
+        (1, 3): (False, False, False),
+    }
+
+
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+@pytest.mark.parametrize("length", [31, 200, 5000])
+def test_long_lines_go(spark, monkeypatch, length, broadcast):
+    monkeypatch.setattr(quality, "BROADCAST_ROWS", broadcast)
+    line = " ".join(f"c{k}" for k in range(length))
+    rows = [(i, own_words(i, 2 * length) + "\n" + line.upper() + " ", "x", "h", 1) for i in range(9)]
+    rows += [(100 + i, own_words(i, 30) + "\n" + line, "x", "h", 1) for i in range(length >= 200 and 9)]
+    rows += [(200 + i, own_words(200 + i, 50) + "\n" + line, "x", "other", 1) for i in range(5)]
+    rows += [rows[0], (None, rows[1][1], None, "h", None)]
+    got = Counter((r.doc_id, r.text) for r in quality.cleaned(spark.createDataFrame(rows, DOC)).collect())
+    want = Counter((r[0], r[1].split("\n")[0]) for r in rows if (r[0] or 0) < 100)
+    assert got == want + Counter((r[0], r[1]) for r in rows if (r[0] or 0) >= 200)
+
+
+def thue_morse(n, flip=False):
+    return "".join("ab"[(k.bit_count() & 1) ^ flip] for k in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_words_whose_rolling_hashes_agree_are_told_apart(spark, n):
+    """Polynomials modulo 2**64 cannot tell these two words apart, whatever their base."""
+    one, two = thue_morse(n), thue_morse(n, True)
+    b = tx.Block([one, two])
+    s, e, _ = b.words()
+    h = tx.ROLL.ranges(tx.ROLL.prefix(tx.char_values(b.cps)), s, e)
+    assert one != two and h[0] == h[1]
+    seven, rest = own_words("a", 7), own_words("b", 34)
+    texts = [f"{rest} {one}", f"{rest} {two}", f"{one}\n{two}\n{one}\n{own_words('c', 20)}", f"{seven} {one} x {seven} {two} y {own_words('d')}"]
+    texts += [f"{own_words('e' + str(k))}\n{one if k < 5 else two}" for k in range(10)]
+    df = spark.createDataFrame([(i, t, "x", "h", len(t)) for i, t in enumerate(texts)], DOC)
+    got = {r.doc_id: r for r in quality.statistics(df).collect()}
+    assert {i: (r.n_dup_lines, r.n_repeat_words) for i, r in got.items()} == {i: (base(t)[3], base(t)[4]) for i, t in enumerate(texts)}
+    assert got[2].n_dup_lines == 1 and got[3].n_repeat_words == 0
+    removed = line_rule([(i, t, "h") for i, t in enumerate(texts)])
+    assert {r.doc_id: r.text for r in quality.cleaned(df).collect()} == {i: "\n".join(x for x in t.split("\n") if x not in removed(t, "h")) for i, t in enumerate(texts)}
+    want = {i: len(gone) for i, (_, gone) in enumerate(removals(texts))}
+    assert {r.doc_id: r.n_removed for r in substring.digests(df).collect()} == want and want[0] == 0
 
 
 # SimHash
