@@ -8,11 +8,13 @@ any chunk, or only the planes it needs.
 
     magic, chunks, footer, <footer length u64, footer crc32 u32>, magic
 
-``write_tokens`` writes one file per range of doc_id; ``read_tokens`` reads them back.
-Null text counts as empty (its document still gets the end id); null doc_ids sort
-first; documents with one doc_id are ordered by their text; an empty table gives no
-files and no rows.  Files are written under another name and moved into place, so a
-task that runs twice leaves one file.
+``write_tokens`` encodes texts where they lie, then sorts the packed ids by doc_id and writes
+files of bounded size, each a range of doc_id; ``read_tokens`` reads them back.  Null text counts
+as empty (its document still gets the end id); null doc_ids sort first; documents with one doc_id
+are ordered by a hash of their text, and equal rows may lie in different files; a special token's
+string in a text gives that token's id (see ``tokens``); a very long text makes a long file; other
+columns are ignored; an empty table gives no files and no rows.  Files are written under another
+name and moved into place, so a task that runs twice leaves one file.
 """
 
 from __future__ import annotations
@@ -34,6 +36,9 @@ from . import scratch, tokens
 MAGIC = b"BITPLANE"
 CHUNK = 1 << 16
 LEVEL = 3
+FILE_IDS = 1 << 27  # ids of a file, about; with few ids, a file for each shuffle partition
+ROWS = 1 << 16  # documents of a batch that is read back
+ENCODED = "doc_id long, print long, place long, n long, ids binary"
 
 
 def planes(ids: np.ndarray, kind: str) -> list[bytes]:
@@ -162,12 +167,39 @@ def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def write_tokens(docs: DataFrame, folder: str, *, tokenizer: str | None = None, end_id: int = 0, kind: str = "byte", chunk: int = CHUNK, files: int | None = None) -> DataFrame:
+def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+    """``ENCODED`` of every row: a hash of its text, a number that no other row has, how many ids it has and
+    its ids, of two bytes each where they fit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for first, ids, count in tokens.encode_blocks(batch.column(2), tokenizer):
+                ids, count = tokens.with_end(ids, count, end_id)
+                wide = bool(len(ids)) and int(ids.max()) >= 1 << 16
+                raw = ids.astype("<u4" if wide else "<u2").tobytes()
+                end = np.cumsum(count) * (4 if wide else 2)
+                packed = [raw[a:b] for a, b in zip([0, *end.tolist()], end.tolist())]
+                own = [batch.column(k).slice(first, len(count)) for k in (0, 1)]
+                places = pa.array(np.arange(place, place + len(count)))
+                place += len(count)
+                yield pa.RecordBatch.from_arrays([*own, places, pa.array(count), pa.array(packed, pa.binary())], ["doc_id", "print", "place", "n", "ids"])
+
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("print"), text.alias("text"))
+    return scratch.written(rows.mapInArrow(run, ENCODED), "bitplane-ids")
+
+
+def write_tokens(
+    docs: DataFrame, folder: str, *, tokenizer: str | None = None, end_id: int = 0, kind: str = "byte", chunk: int = CHUNK, files: int | None = None
+) -> DataFrame:
     """Encode ``docs`` (doc_id, text) and write them to ``folder`` in ascending doc_id order, one file
     per range of doc_id.  Returns the manifest: file (ascending with doc_id), path, n_docs, n_ids."""
     spark = docs.sparkSession
-    path = tokenizer or tokens.default_tokenizer()
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = encoded(docs, tokenizer or tokens.default_tokenizer(), end_id)
+    if files is None:
+        n_ids = rows.agg(F.sum("n")).first()[0] or 0
+        files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_ids // FILE_IDS))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _filesystem(folder)
@@ -182,20 +214,21 @@ def write_tokens(docs: DataFrame, folder: str, *, tokenizer: str | None = None,
                 fs.create_dir(root, recursive=True)
                 sink = fs.open_output_stream(draft)
                 out = Writer(sink, kind, chunk)
-            ids_of = batch.column(0)
-            for first, ids, count in tokens.encode_blocks(batch.column(1), path):
-                out.add(ids_of.slice(first, len(count)).to_pylist(), *tokens.with_end(ids, count, end_id))
+            doc_ids, count = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            for k, (n, raw) in enumerate(zip(count.tolist(), batch.column(2).to_pylist())):
+                out.add(doc_ids[k : k + 1], np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype(np.uint32), count[k : k + 1])
         if out is not None:
             out.close()
             sink.close()
             if fs.get_file_info(name).type != pafs.FileType.NotFound:  # of a task that ran before
                 fs.delete_file(name)
             fs.move(draft, name)
-            yield pa.RecordBatch.from_pydict({"file": pa.array([part], pa.int32()), "path": [name], "n_docs": pa.array([len(out.docs)], pa.int64()), "n_ids": pa.array([out.n_ids], pa.int64())})
+            found = {"file": pa.array([part], pa.int32()), "path": [name], "n_docs": pa.array([len(out.docs)], pa.int64()), "n_ids": pa.array([out.n_ids], pa.int64())}
+            yield pa.RecordBatch.from_pydict(found)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.repartitionByRange(files, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
-    return scratch.written(rows.mapInArrow(write, "file int, path string, n_docs long, n_ids long"), "bitplane-manifest")
+    # Places make every row's key its own, so a document that repeats is dealt over files too.
+    rows = rows.repartitionByRange(files, "doc_id", "print", "place").sortWithinPartitions("doc_id", "print", "ids", "place")
+    return scratch.written(rows.select("doc_id", "n", "ids").mapInArrow(write, "file int, path string, n_docs long, n_ids long"), "bitplane-manifest")
 
 
 def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
@@ -207,6 +240,9 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
         jobs.append((r.file, r.path, base))
         base += r.n_ids
 
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = _filesystem(folder)
         for batch in batches:
@@ -220,7 +256,11 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
                             crc = zlib.crc32(np.ascontiguousarray(p, "<u4"), crc)
                         found.append((doc, at, n, crc))
                         at += n
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                        if len(found) == ROWS:
+                            yield batch_of(found)
+                            found = []
+                    if found:
+                        yield batch_of(found)
 
     frame = spark.createDataFrame(jobs, "file int, path string, base long")
     if jobs:

@@ -8,7 +8,8 @@ within their length, and a pattern's slots take ranges of ranks.
 
 Null text counts as empty, so every row gives at least its end id; rows with one doc_id,
 also equal rows, are packed each on its own (equal pieces are interchangeable); null
-doc_ids are kept; an empty table gives no rows.  Other columns are ignored.
+doc_ids are kept; an empty table gives no rows.  A special token's string in a text gives that
+token's id (see ``tokens``).  Other columns are ignored.
 """
 
 from __future__ import annotations

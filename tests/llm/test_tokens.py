@@ -19,7 +19,6 @@ from strata.llm import text as tx
 RANKS = bpe.read_ranks(bpe.default_ranks())
 TIKTOKEN = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
 LIBRARY = Tokenizer.from_file(tokens.default_tokenizer())
-LIBRARY.encode_special_tokens = True
 MACHINE = bpe.MergeTransducer(RANKS, most_states=5000, lag=64)
 
 
@@ -36,17 +35,32 @@ def blockwise(strings, coder):
     return out
 
 
-AWKWARD = st.lists(st.sampled_from([*"abz'strevmld \t\n\r12٣ⅷé鱼😁.,!-_<|>\xa0 \x1c", "'s", "'re", "'ll", " the", "endoftext"]), max_size=25).map("".join)
+AWKWARD = st.lists(st.sampled_from([*"abz'strevmld \t\n\r12٣ⅷé鱼😁.,!-_<|>\xa0 \x1c", "'s", "'re", "'ll", " the", "endoftext", "<|endoftext|>", "<|endoftext|><|endoftext|>"]), max_size=25).map("".join)
 
 
-@settings(max_examples=150, deadline=None)
+def column_ids(strings, **how):
+    out = []
+    for _, ids, count in tokens.encode_blocks(pa.array(strings, pa.string()), tokens.default_tokenizer(), **how):
+        end = np.cumsum(count)
+        out += [ids[a:b].tolist() for a, b in zip(end - count, end)]
+    return out
+
+
+@settings(max_examples=300, deadline=None)
 @given(st.lists(AWKWARD, max_size=8))
 def test_pieces_and_ids_equal_the_library(strings):
-    want = [ids_of(s) for s in strings]
-    assert blockwise(strings, tokens.coder(tokens.default_tokenizer())) == want
-    assert blockwise(strings, bpe.coder(bpe.default_ranks())) == want
+    plain = [TIKTOKEN.encode_ordinary(s) for s in strings]
+    assert blockwise(strings, tokens.coder(tokens.default_tokenizer())) == plain == column_ids(strings, special=False)
+    assert column_ids(strings) == [ids_of(s) for s in strings]
+    assert blockwise(strings, bpe.coder(bpe.default_ranks())) == plain
     small = pieces.PieceCoder(lambda ss: [ids_of(s) for s in ss], most=8)  # a table that is cleared again and again
-    assert blockwise(strings, small) == want
+    assert blockwise(strings, small) == plain
+
+
+def test_strings_of_special_tokens_are_special_tokens():
+    strings = ["hello <|endoftext|> there", "<|endoftext|>", "a<|endoftext|><|endoftext|>b", "x<|endoftext|", "", "<|<|endoftext|>\n\n"]
+    assert column_ids(strings) == [ids_of(s) for s in strings]
+    assert column_ids(strings)[0] == [31373, 220, 50256, 612]
 
 
 def test_a_hash_collision_is_noticed(monkeypatch):
