@@ -15,7 +15,8 @@ nodes, not with their pairs.
 The weights are parameters (there are no labels of personal data to learn them from); an
 unlinked node without a cue is never reported by its shape alone.
 
-Null text counts as empty (no spans); documents are independent of each other, so equal rows,
+Null text counts as empty (no spans); texts of any length are scanned whole, in time that grows with
+their length; documents are independent of each other, so equal rows,
 null ids and extra columns change nothing; an empty table gives no rows.
 """
 
@@ -34,11 +35,15 @@ from pyspark.sql import functions as F
 from . import scratch
 
 KINDS = ("email", "ip", "card", "phone")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+# The base patterns match what the stated ones match, but look at no character more than a few times:
+# an address is found from its @, numbers from the first digit of a run, and runs are never given back.
+LOCAL = re.compile(r"[A-Za-z0-9._%+-]*+")
+DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+CARD = re.compile(r"[0-9](?:[\x20-]?+[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-UNIT = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+|\+?\(?[0-9](?:[\x20().-]{0,3}[0-9])+")
+LOOSE_DOMAIN = re.compile(r"@[A-Za-z0-9.-]++")
+FIGURE = re.compile(r"\+?\(?[0-9](?:[\x20().-]{0,3}+[0-9])++")
 NUMBER = re.compile(r"[0-9]+")
 #: What a text with any base span or node must contain.
 TRACE = r"@|\+[0-9]|[0-9][ ().-]{0,3}[0-9][ ().-]{0,3}[0-9][ ().-]{0,3}[0-9]"
@@ -69,12 +74,39 @@ def _digits(s: str) -> str:
     return "".join(NUMBER.findall(s))
 
 
+def _run_start(text: str, low: int, at: int) -> int:
+    """Where the run of ``LOCAL`` characters before ``at`` begins, not before ``low``."""
+    step = 64
+    while True:
+        a = max(low, at - step)
+        n = LOCAL.match(text[a:at][::-1]).end()
+        if n < at - a or a == low:
+            return at - n
+        step *= 4
+
+
+def _addresses(text: str, domain: re.Pattern) -> Iterator[tuple[int, int]]:
+    """Spans of a run of ``LOCAL`` characters and a ``domain``, leftmost, without overlaps."""
+    at, low = text.find("@"), 0
+    while at >= 0:
+        m = domain.match(text, at)
+        start = _run_start(text, low, at) if m else at
+        low = at + 1
+        if start < at:
+            low = m.end()
+            yield start, low
+        at = text.find("@", low)
+
+
+def _octet(digits: str) -> bool:
+    digits = digits.lstrip("0")
+    return len(digits) <= 3 and int(digits or "0") <= 255
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the base patterns, by kind and start."""
-    out = []
-    if "@" in text:
-        out += [(0, m.start(), m.end()) for m in EMAIL.finditer(text)]
-    out += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(len(x) <= 3 and int(x) <= 255 for x in (p.lstrip("0") or "0" for p in m.group().split(".")))]
+    out = [(0, a, b) for a, b in _addresses(text, DOMAIN)]
+    out += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(map(_octet, m.group().split(".")))]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 13 and 13 <= len(d := _digits(m.group())) <= 19 and luhn(d):
             out.append((2, m.start(), m.end()))
@@ -82,6 +114,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def _units(text: str) -> list[tuple[int, int]]:
+    """Spans that could be personal data at all: addresses, and figures of seven or more digits outside them."""
+    out = [*_addresses(text, LOOSE_DOMAIN)]
+    mails, k = len(out), 0
+    for m in FIGURE.finditer(text):
+        while k < mails and out[k][1] <= m.start():
+            k += 1
+        if (k == mails or out[k][0] >= m.end()) and len(_digits(m.group())) >= 7:
+            out.append(m.span())
+    return sorted(out)
+
+
 class Field:
     """The random field of one document.  Occurrences of one content (same address, same last nine
     digits, or same digits where there are fewer) whose shapes allow the same kinds share a variable."""
@@ -92,13 +136,11 @@ class Field:
         spans = set(found)
         taken = sorted(spans)
         at = 0
-        for m in UNIT.finditer(text):  # units that no base span touches
-            while at < len(taken) and taken[at][1] <= m.start():
+        for a, b in _units(text):  # units that no base span touches
+            while at < len(taken) and taken[at][1] <= a:
                 at += 1
-            if at < len(taken) and taken[at][0] < m.end():
-                continue
-            if "@" in m.group() or len(_digits(m.group())) >= 7:
-                spans.add(m.span())
+            if at == len(taken) or taken[at][0] >= b:
+                spans.add((a, b))
         self.nodes = sorted(spans)
         self.base = [found.get(s, -1) for s in self.nodes]
         self.variable, self.first, self.contents = [], [], []

@@ -10,9 +10,10 @@ parses as a secret, with every nested length in agreement:
 * ``jwt``: a signed token whose header names an algorithm that fits the signature's length
   and whose payload is a JSON object.
 
-Candidates may be wrapped over lines; how far one goes follows from the length that its
-encoding states, so text after it does no harm.  Texts of any length are scanned whole.  Null
-text counts as empty (no spans); rows are independent of each other, so equal rows, null ids and
+Candidates may be wrapped over lines and may begin anywhere in a run of letters; how far one goes
+follows from the length that its encoding states, so what stands before and after it does no
+harm.  Texts of any length are scanned whole, in time that grows with their length: a candidate is
+first held against the few bytes that its kind must begin with.  Null text counts as empty (no spans); rows are independent of each other, so equal rows, null ids and
 extra columns change nothing; an empty table gives no rows.
 """
 
@@ -23,7 +24,7 @@ import binascii
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -39,12 +40,19 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "pem", "der", "openssh", "jwt")
 LEAST_VALUE, LEAST_ACCESS = 6, 20
 
-ARMOUR = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----(.+?)-----END \1-----", re.S)
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}")
-LONG_HEX = re.compile(r"(?:[0-9a-f]{80,}|[0-9A-F]{80,})")
-TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+MARK = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]*+)-----")
+#: Where a key can begin: a DER sequence of 16 bytes or more, OpenSSH's magic, armour encoded once more.
+BASE64 = re.compile(r"M[B-I](?=[A-Za-z0-9+/_-]{14})|b3BlbnNzaC1rZXktdjEA|LS0tLS1CRUdJTi")
+HEX_HEAD = re.compile(r"(?=(30(?:[1-7][0-9a-f]|81[0-9a-f]{2}|82[0-9a-f]{4})(?:02010[01]|30)|6f70656e7373682d6b65792d763100|2d2d2d2d2d424547494e20))", re.I)
+IN_BASE64, IN_HEX = re.compile(r"[A-Za-z0-9+/_-]++"), re.compile(r"[0-9A-Fa-f]++")
+BREAK = re.compile(r"[\x20\t]*+\r?\n[\x20\t]*+")
+#: Three parts of a token; its header is a JSON object, so it begins with a brace and white space or a quote.
+TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(?=([A-Za-z0-9_-]++)\.([A-Za-z0-9_-]++)\.([A-Za-z0-9_-]*+))")
+HEADER = re.compile(r"(?=e(?:y[A-DI-L]|w[0-3k-r]))")
+OBJECT = re.compile(rb'\{\s*"[^"\\\x00-\x1f\x80-\xff]*+(?:"\s*(?::|\Z)|\Z)')
+MOST_HEADER, MOST_KEY = 1 << 14, 1 << 15  # characters of a token's header, bytes of a key
 #: What a text with any finding must contain; all patterns above need one of these.
-TRACE = r"(?i)password|passwd|secret|token|api_?key|AKIA|-----BEGIN|[A-Za-z0-9+/_-]{24,}|eyJ"
+TRACE = r"(?i:password|passwd|secret|token|api_?key|[0-9a-f]{24})|AKIA|-----BEGIN|M[B-I][A-Za-z0-9+/_-]{14}|b3BlbnNzaC1rZXktdjEA|LS0tLS1CRUdJTi|e(?:y[A-DI-L]|w[0-3k-r])[A-Za-z0-9_-]*\.[A-Za-z0-9_-]+\."
 #: Bytes of the signature (or hash) for each signing algorithm; 0: any length over 127.
 SIGNATURES = {"HS256": 32, "HS384": 48, "HS512": 64, "ES256": 64, "ES256K": 64, "ES384": 96, "ES512": 132, "EdDSA": 64, "RS256": 0, "RS384": 0, "RS512": 0, "PS256": 0, "PS384": 0, "PS512": 0}
 
@@ -119,37 +127,42 @@ OPENSSH = b"openssh-key-v1\0"
 
 
 def openssh_size(data: bytes) -> int:
-    """Bytes of the OpenSSH private key that ``data`` begins with, from its nested lengths; 0 if none."""
+    """Bytes of the OpenSSH private key that ``data`` begins with, from its nested lengths; 0 if none, -1 if
+    ``data`` ends before that can be told."""
     if not data.startswith(OPENSSH):
         return 0
     at = len(OPENSSH)
 
-    def block() -> bytes:
+    def block(most: int) -> bytes:
         nonlocal at
         n = int.from_bytes(data[at : at + 4], "big")
-        if at + 4 + n > len(data):
+        if n > most:
             raise ValueError
+        if at + 4 + n > len(data):
+            raise EOFError
         at += 4 + n
         return data[at - n : at]
 
     try:
-        cipher, kdf, options = block(), block(), block()
+        cipher, kdf, options = block(64), block(64), block(1 << 10)
         keys = int.from_bytes(data[at : at + 4], "big")
         at += 4
         if not 1 <= keys <= 16 or not cipher or not kdf or (kdf == b"none") != (options == b""):
             return 0
         for _ in range(keys):
-            public = block()
+            public = block(MOST_KEY)
             n = int.from_bytes(public[:4], "big")
             if not 3 <= n <= len(public) - 4:
                 return 0
-        secret = block()
+        secret = block(MOST_KEY)
         plain = cipher == b"none"
         if len(secret) < 16 or len(secret) % 8 or plain and secret[:4] != secret[4:8]:
             return 0
         return at
     except ValueError:
         return 0
+    except EOFError:
+        return -1
 
 
 def _unbase64(s: str) -> bytes:
@@ -157,73 +170,93 @@ def _unbase64(s: str) -> bytes:
     return base64.b64decode(s[: len(s) // 4 * 4] + (s[len(s) // 4 * 4 :] + "==")[: 4 if len(s) % 4 > 1 else 0])
 
 
-def _wrapped(text: str, at: int, n: int) -> int:
-    """Where n characters of the base64 alphabet from ``at`` on end, line breaks left out; -1 if there
-    are not so many."""
-    while n:
-        m = re.compile(rf"[A-Za-z0-9+/_-]{{1,{n}}}").match(text, at)
-        if not m:
-            return -1
+def _taken(text: str, at: int, n: int, run: re.Pattern) -> tuple[str, int]:
+    """Up to n characters that ``run`` matches from ``at`` on, over line breaks, and where they end."""
+    out, end = [], at
+    while n and (m := run.match(text, at, at + n)):
+        out.append(m.group())
         n -= m.end() - at
-        at = m.end()
-        if n:
-            w = re.compile(r"[\x20\t]*\r?\n[\x20\t]*").match(text, at)
-            if not w:
-                return -1
+        at = end = m.end()
+        if n and (w := BREAK.match(text, at)):
             at = w.end()
-    return at
+    return "".join(out), end
 
 
 def _private(data: bytes) -> str:
     if (n := der_size(data)) and n <= len(data) and is_private_der(data[:n]):
         return "der"
-    return "openssh" if openssh_size(data) else ""
-
-
-def _at_base64(text: str, start: int, run: str) -> tuple[str, int] | None:
-    """Kind and end of the key that begins with the base64 run at ``start``."""
-    head = _unbase64(run[:40])
-    if (size := der_size(head)) and 16 <= size <= 1 << 16:
-        end = _wrapped(text, start, -(-size * 4 // 3))
-        if end > 0 and is_private_der(_unbase64(re.sub(r"\s", "", text[start:end]))[:size]):
-            while end < len(text) and text[end] == "=":
-                end += 1
-            return "der", end
+    return "openssh" if openssh_size(data) > 0 else ""
+
+
+def _armours(text: str) -> Iterator[tuple[int, int, str]]:
+    """Start, end and body of armoured private keys: each end mark with the begin mark just before it."""
+    begun = None
+    for m in MARK.finditer(text):
+        if m[1] == "END" and begun and begun[2] == m[2]:
+            yield begun.start(), m.end(), text[begun.end() : m.start()]
+        begun = m if m[1] == "BEGIN" and f" {m[2]}".endswith(" PRIVATE KEY") else None
+
+
+def _decoded_at(text: str, start: int, letters: int, size: int, run: re.Pattern, decode: Callable[[str], bytes]) -> tuple[str, int] | None:
+    """Kind and end of the key whose encoding begins at ``start``: ``letters`` of it stand for ``size`` bytes."""
+
+    def taken(n: int) -> tuple[bytes, int]:
+        got, end = _taken(text, start, -(-n * letters // size), run)
+        return decode(got), end
+
+    head, _ = taken(48)
+    if n := der_size(head):
+        inner = head[2 + (head[1] & 0x7F if head[1] & 0x80 else 0) :]
+        if 16 <= n <= MOST_KEY and inner.startswith((b"\x02\x01\x00", b"\x02\x01\x01", b"\x30")):
+            data, end = taken(n)
+            if len(data) >= n and is_private_der(data[:n]):
+                return "der", end
     elif head.startswith(OPENSSH):
-        m = re.compile(r"[A-Za-z0-9+/_-]+(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)*").match(text, start)
-        data = _unbase64(re.sub(r"\s", "", m.group()))
-        if n := openssh_size(data):
-            end = _wrapped(text, start, -(-n * 4 // 3))
-            while 0 < end < len(text) and text[end] == "=":
-                end += 1
-            return "openssh", end
+        for most in (1 << 8, 1 << 12, 4 * MOST_KEY):
+            n = openssh_size(taken(most)[0])
+            if n >= 0:
+                return ("openssh", taken(n)[1]) if n else None
     elif head.startswith(b"-----BEGIN "):  # armour encoded once more
-        inner = ARMOUR.search(_unbase64(run).decode("latin-1"))
-        if inner and _armoured(inner):
-            return "pem", start + len(run)
+        inner = next(_armours(taken(4 * MOST_KEY)[0].decode("latin-1")), None)
+        if inner and inner[0] == 0 and _armoured(inner[2]):
+            return "pem", taken(inner[1])[1]
     return None
 
 
-def _armoured(m: re.Match) -> bool:
-    lines = [x for x in re.split(r"\r?\n|\\n", m.group(2)) if ":" not in x]  # without RFC 1421 headers
-    body = re.sub(r"[\s=]", "", "".join(lines))
-    if "ENCRYPTED" in m.group(2) and "DEK-Info" in m.group(2):
-        return bool(re.fullmatch(r"[A-Za-z0-9+/]{64,}", body))
+def _armoured(body: str) -> bool:
+    lines = [x for x in re.split(r"\r?\n|\\n", body) if ":" not in x]  # without RFC 1421 headers
+    letters = re.sub(r"[\s=]", "", "".join(lines))
+    if "ENCRYPTED" in body and "DEK-Info" in body:
+        return bool(re.fullmatch(r"[A-Za-z0-9+/]{64,}", letters))
     try:
-        return bool(re.fullmatch(r"[A-Za-z0-9+/]+", body)) and bool(_private(_unbase64(body)))
+        return bool(re.fullmatch(r"[A-Za-z0-9+/]+", letters)) and bool(_private(_unbase64(letters)))
     except (ValueError, binascii.Error):
         return False
 
 
-def _signed(token: str) -> bool:
+def _header_at(head: str, body: str, signature: str) -> int:
+    """Where in ``head`` the header of a signed token with this body and signature begins; -1 if nowhere."""
     try:
-        head, body, signature = token.split(".")
-        head = json.loads(_unbase64(head))
-        size = SIGNATURES.get(head.get("alg")) if isinstance(head, dict) else None
-        n = len(signature) * 3 // 4
-        return size is not None and isinstance(json.loads(_unbase64(body)), dict) and (n == size if size else n > 127)
-    except (ValueError, binascii.Error, RecursionError, TypeError):
-        return False
+        if body[0] != "e" or not isinstance(json.loads(_unbase64(body)), dict):
+            return -1
+    except (ValueError, binascii.Error, RecursionError):
+        return -1
+    n = len(signature) * 3 // 4
+    for m in HEADER.finditer(head, max(0, len(head) - MOST_HEADER)):
+        try:
+            if not OBJECT.match(_unbase64(head[m.start() : m.start() + 96])):
+                continue
+            fields = json.loads(_unbase64(head[m.start() :]))
+            size = SIGNATURES.get(fields.get("alg"))
+        except (ValueError, binascii.Error, RecursionError, TypeError, AttributeError):
+            continue
+        if size is not None and (n == size if size else n > 127):
+            return m.start()
+    return -1
+
+
+def _unhex(s: str) -> bytes:
+    return bytes.fromhex(s[: len(s) // 2 * 2])
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, int]]:
@@ -236,26 +269,28 @@ def base_spans(text: str) -> list[tuple[int, int, int, int]]:
 
 def confirmed_spans(text: str) -> list[tuple[int, int, int, int]]:
     """The same of what decoding and parsing confirms."""
-    out, upto = [], 0
-    for m in ARMOUR.finditer(text):
-        if _armoured(m):
-            out.append((m.start(), 3, m.end(), m.start()))
+    out = [(a, 3, b, a) for a, b, body in _armours(text) if _armoured(body)]
     armoured = [(a, b) for a, _, b, _ in out]
-    for m in BASE64.finditer(text):
-        if m.start() < upto or any(a <= m.start() < b for a, b in armoured):
-            continue
-        try:
-            got = _at_base64(text, m.start(), m.group())
-        except (ValueError, binascii.Error):
-            continue
-        if got:
-            upto = got[1]
-            out.append((m.start(), KINDS.index(got[0]), upto, m.start()))
-    for m in LONG_HEX.finditer(text):
-        data = bytes.fromhex(m.group()[: len(m.group()) // 2 * 2])
-        if (n := der_size(data)) and n <= len(data) and is_private_der(data[:n]):
-            out.append((m.start(), 4, m.start() + 2 * n, m.start()))
-    out += [(m.start(), 6, m.end(), m.start()) for m in TOKEN.finditer(text) if _signed(m.group())]
+    for heads, letters, size, run, decode in ((BASE64, 4, 3, IN_BASE64, _unbase64), (HEX_HEAD, 2, 1, IN_HEX, _unhex)):
+        upto, k = 0, 0
+        for m in heads.finditer(text):
+            while k < len(armoured) and armoured[k][1] <= m.start():
+                k += 1
+            if m.start() < upto or k < len(armoured) and armoured[k][0] <= m.start():
+                continue
+            try:
+                got = _decoded_at(text, m.start(), letters, size, run, decode)
+            except (ValueError, binascii.Error):
+                continue
+            if got:
+                kind, upto = got
+                while letters == 4 and text.startswith("=", upto):
+                    upto += 1
+                out.append((m.start(), KINDS.index(kind), upto, m.start()))
+    for m in TOKEN.finditer(text):
+        if (at := _header_at(*m.groups())) >= 0:
+            at += m.start()
+            out.append((at, 6, m.end(3), at))
     return sorted(out)
 
 
