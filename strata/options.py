@@ -18,6 +18,7 @@ class Options:
     level_size_multiplier: int = 10
     base_table_size: int = 256 * MIB
     table_size_multiplier: int = 2
+    num_compactors: int = 3
     num_level_zero_tables: int = 15
     max_level_num: int = 7
     l0_merge_age_s: int = 10

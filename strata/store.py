@@ -6,25 +6,47 @@
 
 Writes become durable with the manifest commit that names their segment.  Tables of level 1 and
 deeper are written by key range, so their ranges are disjoint.  A flush or a compaction never
-changes what ``get`` and ``scan`` return.
+changes what ``get`` and ``scan`` return.  One store object may be used by several threads.
 """
 
 from __future__ import annotations
 
+import threading
 import time
 import uuid
+from bisect import bisect_left
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .functions.codec import record_size
 from .operators import resolve
 from .options import Options
 from .plans import planner
 from .sources.manifest import LOG, File, Manifest, Snapshot, Storage
-from .sources.shared import written
 
 ENTRY = "key string, val string, seq bigint"
+#: Keys asked for at once up to which they are part of the scan's filter, so that files, row groups and
+#: Parquet's Bloom filters are asked for each; beyond, files are pruned by the keys' hull alone.
+PUSHED_KEYS = 1000
+#: Values of one IN that Spark pushes to Parquet value by value (the default of its threshold).
+IN_VALUES = 10
+
+
+def _one_of(keys: list[str]) -> Column:
+    """key IN keys, as a balanced OR of INs short enough to be pushed down."""
+    tests = [F.col("key").isin(keys[k : k + IN_VALUES]) for k in range(0, len(keys), IN_VALUES)]
+    while len(tests) > 1:
+        tests = [reduce(Column.__or__, tests[k : k + 2]) for k in range(0, len(tests), 2)]
+    return tests[0]
+
+
+def _print() -> Column:
+    """What the checksum of a table is summed from: a hash of each entry."""
+    return F.bit_xor(F.xxhash64("key", "val", "seq"))
 
 
 class Store:
@@ -32,30 +54,25 @@ class Store:
         self.spark, self.path, self.options = spark, path.rstrip("/"), options or Options()
         self.storage = Storage(spark, self.path)
         self.manifest = Manifest(self.storage)
-        self._reconcile()
+        self.busy: dict[str, planner.Plan] = {}  # compactions in flight
+        self._writing = threading.Lock()
+        present = {name for name, _ in self.storage.walk("data")}
+        if missing := [f.path for f in self.now.files if f.path not in present]:
+            raise FileNotFoundError(f"files that the manifest names are missing: {missing}")
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, options: Options | None = None) -> Store:
-        """Open or create a store.  Files that the manifest does not name are removed; a named file that
-        is missing is an error."""
+        """Open or create a store.  A file that the manifest names and is missing is an error.  Files that
+        it does not name stay (they may be a writer's that has not committed yet) until ``vacuum``."""
         return cls(spark, path, options)
 
     @property
     def now(self) -> Snapshot:
         return self.manifest.now
 
-    def _reconcile(self) -> None:
-        named = {f.path for s in self.manifest.history[-self.options.keep_versions :] for f in s.files}
-        missing = [f.path for f in self.now.files if not self.storage.exists(f.path)]
-        if missing:
-            raise FileNotFoundError(f"files that the manifest names are missing: {missing}")
-        for batch in self.storage.list("data"):
-            for name in self.storage.list(f"data/{batch}"):
-                if f"data/{batch}/{name}" not in named and not name.endswith(".crc"):
-                    self.storage.delete(f"data/{batch}/{name}")
-
-    def _write(self, df: DataFrame, level: int, first_fid: int) -> list[File]:
-        """Write entries and describe the files, from one pass over what was written."""
+    def _write(self, df: DataFrame, level: int) -> list[File]:
+        """Write entries and describe the files, from one pass over what was written.  Null keys count
+        in ``rows`` only."""
         batch = f"data/{uuid.uuid4().hex}"
         out = df.select("key", "val", "seq").write
         if self.options.bloom_false_positive > 0:
@@ -63,9 +80,13 @@ class Store:
         out.parquet(f"{self.path}/{batch}")
         rows = self.spark.read.schema(ENTRY).parquet(f"{self.path}/{batch}").groupBy(F.col("_metadata.file_name").alias("name"))
         size = F.sum(record_size(F.col("key"), F.col("val")))
-        stats = rows.agg(F.min("key").alias("a"), F.max("key").alias("b"), F.count("*").alias("n"), size.alias("bytes"), F.min("seq").alias("s"), F.max("seq").alias("e")).collect()  # a row a file
+        named = {"a": F.min("key"), "b": F.max("key"), "n": F.count("*"), "keys": F.count("key"), "bytes": size, "s": F.min("seq"), "e": F.max("seq"), "print": _print()}
+        stats = rows.agg(*[c.alias(name) for name, c in named.items()]).collect()  # a row a file
+        if any(r["keys"] < r.n or not r.a for r in stats):
+            self.storage.delete(batch)
+            raise ValueError("a key is null or empty")
         when = time.time()
-        return [File(first_fid + i, level, f"{batch}/{r.name}", r.a, r.b, r.n, r.bytes, r.s, r.e, when) for i, r in enumerate(sorted(stats, key=lambda r: (r.a, r.name)))]
+        return [File(0, level, f"{batch}/{r.name}", r.a, r.b, r.n, r.bytes, r.s, r.e, when, r.print) for r in sorted(stats, key=lambda r: (r.a, r.name))]
 
     def _read(self, files: list[File]) -> DataFrame:
         if not files:
@@ -75,43 +96,46 @@ class Store:
     def put(self, entries: DataFrame) -> Snapshot:
         """Append entries (key, val, optionally ord).  Of equal keys in a batch the one with the largest ord
         wins; without ord, the last in the frame's order.  Null and empty keys are refused; a null value
-        deletes, as an empty one does."""
-        cols = [F.col("key").cast("string").alias("key"), F.coalesce(F.col("val").cast("string"), F.lit("")).alias("val")]
-        rows = entries
-        if "ord" in entries.columns:
-            n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            rows = entries.repartitionByRange(n, "ord").sortWithinPartitions("ord")
-        rows = written(rows.select(*cols, F.monotonically_increasing_id().alias("at")), "put")
-        if not rows.filter(F.col("key").isNull() | (F.col("key") == "")).isEmpty():
-            raise ValueError("a key is null or empty")
-        part = F.shiftright("at", 33)
-        sizes = sorted((r.p, r.n) for r in rows.groupBy(part.alias("p")).agg((F.max("at") - F.shiftleft(F.first(part), 33) + 1).alias("n")).collect())  # a row a partition
-        base, offsets = self.now.next_seq, []
-        for p, n in sizes:
-            offsets.append((p, base - (p << 33)))
-            base += n
-        if not offsets:
-            return self.now
-        shift = F.broadcast(self.spark.createDataFrame(offsets, "p bigint, shift bigint"))
-        seq = rows.join(shift, part == F.col("p")).select("key", "val", (F.col("at") + F.col("shift")).alias("seq"))
-        files = self._write(seq, LOG, self.now.next_fid)
-        return self.manifest.commit(files, [], next_fid=self.now.next_fid + len(files), next_seq=base)
+        deletes, as an empty one does.  Rows are written once; whole-number ords become sequence numbers as
+        they are, from the smallest on, others (and no ord) by the place of the row."""
+        with self._writing:
+            base = self.now.next_seq
+            place = F.monotonically_increasing_id()
+            rows = entries
+            if "ord" in entries.columns and isinstance(entries.schema["ord"].dataType, IntegralType):
+                least = entries.agg(F.min("ord")).first()[0]
+                place = F.coalesce(F.col("ord").cast("long") - F.lit(least or 0), F.lit(-1).cast("long")) + 1
+            elif "ord" in entries.columns:
+                n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+                rows = entries.repartitionByRange(n, "ord").sortWithinPartitions("ord")
+            cols = [F.col("key").cast("string").alias("key"), F.coalesce(F.col("val").cast("string"), F.lit("")).alias("val")]
+            files = self._write(rows.select(*cols, (place + F.lit(base)).alias("seq")), LOG)
+            if not files:
+                return self.now
+            return self.manifest.commit(files, [], next_seq=max(f.max_seq for f in files) + 1)
 
     def delete(self, keys: DataFrame) -> Snapshot:
         return self.put(keys.select("key", F.lit("").alias("val")))
 
     def entries(self, low: str | None = None, high: str | None = None, *, version: int | None = None) -> DataFrame:
         """All versions of all keys in files whose key range meets low..high."""
-        snapshot = self.now if version is None else self.manifest.history[version]
+        snapshot = self.now if version is None else self.manifest.at(version)
         return self._read([f for f in snapshot.files if f.overlaps(low, high)])
 
     def get(self, keys: DataFrame | list[str], *, raw: bool = False) -> DataFrame:
-        """key, val, seq of the newest versions; files are pruned by the keys' hull first."""
+        """key, val, seq of the newest versions.  Up to ``PUSHED_KEYS`` keys, only files whose range holds one
+        of them are read, and the scan is filtered by the keys themselves; more keys prune by their hull."""
         if isinstance(keys, list):
             keys = self.spark.createDataFrame([(k,) for k in keys], "key string")
-        hull = keys.agg(F.min("key"), F.max("key")).first()
-        if hull[0] is None:
+        few = [r.key for r in keys.select("key").dropna().distinct().limit(PUSHED_KEYS + 1).collect()]
+        if not few:
             return self._read([])
+        if len(few) <= PUSHED_KEYS:
+            few.sort()
+            held = [f for f in self.now.files if (i := bisect_left(few, f.min_key)) < len(few) and few[i] <= f.max_key]
+            found = resolve.latest(self._read(held).filter(_one_of(few)))
+            return found if raw else found.filter(F.col("val") != resolve.TOMBSTONE)
+        hull = keys.agg(F.min("key"), F.max("key")).first()
         return resolve.get(self.entries(*hull), keys, raw=raw)
 
     def scan(self, low: str | None = None, high: str | None = None, *, version: int | None = None) -> DataFrame:
@@ -119,33 +143,134 @@ class Store:
 
     def flush(self) -> Snapshot:
         """Turn the log into tables of level 0."""
-        segments = self.now.level(LOG)
-        if not segments:
-            return self.now
-        files = self._write(self._ranged(resolve.latest(self._read(segments)), sum(f.bytes for f in segments)), 0, self.now.next_fid)
-        return self.manifest.commit(files, [f.fid for f in segments], next_fid=self.now.next_fid + len(files))
-
-    def _ranged(self, df: DataFrame, size: int) -> DataFrame:
-        n = max(1, -(-size // self.options.sstable_size))
+        with self._writing:
+            segments = self.now.level(LOG)
+            if not segments:
+                return self.now
+            size = sum(f.bytes for f in segments)
+            files = self._write(self._ranged(resolve.latest(self._read(segments)), size, self.options.sstable_size), 0)
+            return self.manifest.commit(files, [f.fid for f in segments])
+
+    @staticmethod
+    def _ranged(df: DataFrame, size: int, table_size: int) -> DataFrame:
+        n = max(1, -(-size // table_size))
         return df.repartitionByRange(n, "key").sortWithinPartitions("key")
 
     def compact(self, *, force: bool = False) -> bool:
-        """Carry out the most urgent compaction; False if none is due (``force`` takes the first level
-        that has tables).  A tombstone goes once no older version of its key can be left."""
-        plan = planner.choose(self.now, self.options, force=force)
-        if plan is None:
-            return False
-        keep = planner.deeper_overlap(self.now, plan, self.options)
-        merged = (resolve.latest if keep else resolve.live)(self._read(list(plan.files)))
-        files = self._write(self._ranged(merged, sum(f.bytes for f in plan.files)), plan.target, self.now.next_fid)
-        self.manifest.commit(files, [f.fid for f in plan.files], next_fid=self.now.next_fid + len(files))
+        """Carry out the most urgent compaction that meets none in flight; False if none is due (``force``
+        takes the first level that has tables).  A tombstone goes once no older version of its key can be
+        left."""
+        name = uuid.uuid4().hex
+        with self.manifest.lock:
+            now = self.now
+            plan = planner.choose(now, self.options, force=force, busy=self.busy.values())
+            if plan is None:
+                return False
+            self.busy[name] = plan
+        try:
+            files = self._write(self._merged(plan, planner.deeper_overlap(now, plan, self.options), now), plan.target)
+            with self.manifest.lock:
+                self.manifest.commit(files, [f.fid for f in plan.files])
+                del self.busy[name]
+        finally:
+            self.busy.pop(name, None)
         return True
 
-    def vacuum(self) -> int:
-        """Remove files that no retained version names; returns how many."""
-        kept = {f.path for s in self.manifest.history[-self.options.keep_versions :] for f in s.files}
-        gone = {f.path for s in self.manifest.history for f in s.files} - kept
-        present = [p for p in gone if self.storage.exists(p)]
-        for p in present:
-            self.storage.delete(p)
-        return len(present)
+    def _merged(self, plan: planner.Plan, keep: bool, now: Snapshot) -> DataFrame:
+        """The newest versions in a plan's files, cut into key ranges that are merged on their own, each from
+        the files that meet it, into tables of the target level's size.  Within level 0 they make one table."""
+        newest = resolve.latest if keep else resolve.live
+        if plan.source == plan.target:
+            return newest(self._read(list(plan.files))).repartition(1).sortWithinPartitions("key")
+        sizes = [sum(f.bytes for f in now.level(i)) for i in range(self.options.max_level_num)]
+        table_size = planner.level_targets(sizes, self.options).table_size(plan.target, self.options)
+        parts, bounds = [], [None, *planner.split_points(plan.bottom), None]
+        for low, high in zip(bounds, bounds[1:]):
+            held = [f for f in plan.files if (low is None or f.max_key > low) and (high is None or f.min_key <= high)]
+            rows = self._read(held)
+            if low is not None:
+                rows = rows.filter(F.col("key") > low)
+            if high is not None:
+                rows = rows.filter(F.col("key") <= high)
+            parts.append(self._ranged(newest(rows), sum(f.bytes for f in held), table_size))
+        return reduce(DataFrame.unionByName, parts)
+
+    def compact_all(self, workers: int | None = None) -> int:
+        """Carry out all compactions that are due, several at a time where they do not meet; returns how
+        many."""
+        workers = workers or self.options.num_compactors
+
+        def work(_: int) -> int:
+            n = 0
+            while self.compact():
+                n += 1
+            return n
+
+        total = 0
+        with ThreadPoolExecutor(workers) as pool:
+            while done := sum(pool.map(work, range(workers))):  # what was held up may be due once others end
+                total += done
+        return total
+
+    def start_compactors(self, workers: int | None = None, tick_s: float = 5.0) -> Compactors:
+        """Look for compactions every ``tick_s`` seconds, in threads of the driver, until stopped."""
+        return Compactors(self, workers or self.options.num_compactors, tick_s)
+
+    def verify(self) -> DataFrame:
+        """path, rows, checksum, ok: of every live file, whether it holds what was written."""
+        want = self.spark.createDataFrame([(f.path, f.rows, f.checksum) for f in self.now.files], "path string, rows bigint, checksum bigint")
+        name = F.element_at(F.split("path", "/"), -1)
+        have = self._read(list(self.now.files))
+        if self.now.files:
+            have = have.groupBy(F.col("_metadata.file_name").alias("name")).agg(F.count("*").alias("n"), _print().alias("print"))
+        else:
+            have = self.spark.createDataFrame([], "name string, n bigint, print bigint")
+        both = want.join(have, name == F.col("name"), "left")
+        ok = F.coalesce((F.col("n") == F.col("rows")) & (F.col("print") == F.col("checksum")), F.lit(False))
+        return both.select("path", "rows", "checksum", ok.alias("ok"))
+
+    def vacuum(self, older_than_s: float = 24 * 3600.0) -> int:
+        """Remove data files that no retained version names: at once those of versions that are not retained
+        any more, and those that no version ever named once they are ``older_than_s`` old, since a writer
+        may be about to commit them.  Returns how many."""
+        kept = {f.path for s in self.manifest.retained(self.options.keep_versions) for f in s.files}
+        known = self.manifest.prune(self.options.keep_versions)
+        limit, n = time.time() - older_than_s, 0
+        for path, changed in [*self.storage.walk("data")]:
+            name = path.rpartition("/")[2]
+            if path not in kept and (path in known or changed < limit) and not name.startswith(("_", ".")):
+                self.storage.delete(path)
+                n += 1
+        return n
+
+
+class Compactors:
+    """Threads that compact a store until ``stop``, or the end of a ``with`` block."""
+
+    def __init__(self, store: Store, workers: int, tick_s: float):
+        self.store, self.tick_s, self.errors = store, tick_s, []
+        self._stop = threading.Event()
+        self._threads = [threading.Thread(target=self._run, daemon=True) for _ in range(workers)]
+        for t in self._threads:
+            t.start()
+
+    def _run(self) -> None:
+        while not self._stop.is_set():
+            try:
+                if self.store.compact():
+                    continue
+            except Exception as e:  # the next tick tries again; what happened stays to be seen
+                self.errors.append(e)
+            self._stop.wait(self.tick_s)
+
+    def stop(self) -> None:
+        """Let what is under way end, and no more begin."""
+        self._stop.set()
+        for t in self._threads:
+            t.join()
+
+    def __enter__(self) -> Compactors:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.stop()
