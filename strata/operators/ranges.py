@@ -1,24 +1,56 @@
-"""Closed key ranges of tables: overlap, hull, chains and splits.  All inputs are metadata, a row
-a file; one is broadcast only if it has been counted and is small."""
+"""Closed key ranges of tables: overlap, hull, chains and splits.
+
+Ranges are joined by parts of the key space: each range goes to the parts that it meets, of which
+there are as many as shuffle partitions, and ranges of one part are compared.  So no side is
+broadcast whole, and no join compares all with all.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: Rows of file metadata up to which they are broadcast (about 200 bytes each).
-BROADCAST_FILES = 200_000
-
-
-def small(metadata: DataFrame) -> DataFrame:
-    """Metadata for the inner side of a range join: with a broadcast hint if it is small, else as it is."""
-    return F.broadcast(metadata) if metadata.count() <= BROADCAST_FILES else metadata
+def cut_points(keys: DataFrame) -> list[str]:
+    """Keys (of column key) that cut them into about equal parts, fewer than shuffle partitions."""
+    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = keys.filter(F.col("key").isNotNull()).repartitionByRange(n, "key").select("key", F.spark_partition_id().alias("part"))
+    return sorted({r.key for r in laid.groupBy("part").agg(F.min("key").alias("key")).collect()})[1:]  # a row a partition
+
+
+def _part(cuts: list[str], key: Column) -> Column:
+    """How many cuts are not above a key."""
+    if not cuts:
+        return F.lit(0)
+    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= key))
+
+
+def meeting(a: DataFrame, b: DataFrame, left_a: str, right_a: str, left_b: str, right_b: str, how: str = "inner", on: list[str] | None = None) -> DataFrame:
+    """``a`` joined with the rows of ``b`` whose range shares a key with its own (and whose ``on`` are equal).
+    A pair is compared in the first part that both ranges are in; ``how`` is inner or left_semi."""
+    cuts = cut_points(b.select(F.col(left_b).alias("key")))
+    if how == "left_semi":
+        a = a.withColumn("_row", F.struct(*a.columns))
+    side = []
+    for df, left, right, name in ((a, left_a, right_a, "_a"), (b, left_b, right_b, "_b")):
+        first = _part(cuts, F.col(left))
+        fit = df.filter(F.col(left) <= F.col(right)).withColumn(name, first)
+        side.append(fit.withColumn("_part", F.explode(F.sequence(F.col(name), _part(cuts, F.col(right))))))
+    x, y = side[0].alias("x"), side[1].alias("y")
+    test = (F.col("x._part") == F.col("y._part")) & (F.col("x._part") == F.greatest("x._a", "y._b"))
+    test &= (F.col(f"x.{left_a}") <= F.col(f"y.{right_b}")) & (F.col(f"x.{right_a}") >= F.col(f"y.{left_b}"))
+    for c in on or []:
+        test &= F.col(f"x.{c}") == F.col(f"y.{c}")
+    if how == "left_semi":
+        found = x.join(y, test, "left_semi")
+        return found.select("x._row").distinct().select("_row.*")
+    theirs = [c for c in b.columns if c not in a.columns]
+    return x.join(y, test).select(*[f"x.{c}" for c in a.columns], *[f"y.{c}" for c in theirs])
 
 
 def overlapping(a: DataFrame, b: DataFrame) -> DataFrame:
     """Pairs of ranges (left_a, right_a), (left_b, right_b) that share a key."""
-    return a.join(small(b), (F.col("left_a") <= F.col("right_b")) & (F.col("right_a") >= F.col("left_b")))
+    return meeting(a, b, "left_a", "right_a", "left_b", "right_b")
 
 
 def hull(ranges: DataFrame, *by: str) -> DataFrame:
@@ -43,6 +75,7 @@ def split_points(bottom: DataFrame, n: int) -> DataFrame:
 
 
 def conflicts(plans: DataFrame, in_flight: DataFrame) -> DataFrame:
-    """Plans whose range at a level overlaps none in flight there."""
-    b = small(in_flight.select(F.col("level").alias("l"), F.col("left").alias("busy_left"), F.col("right").alias("busy_right")))
-    return plans.join(b, (F.col("level") == F.col("l")) & (F.col("left") <= F.col("busy_right")) & (F.col("right") >= F.col("busy_left")), "left_anti")
+    """Plans whose range at a level overlaps none in flight there.  ``fid`` tells plans apart."""
+    busy = in_flight.select("level", F.col("left").alias("busy_left"), F.col("right").alias("busy_right"))
+    met = meeting(plans.select("fid", "level", "left", "right"), busy, "left", "right", "busy_left", "busy_right", on=["level"])
+    return plans.join(met.select("fid").distinct(), "fid", "left_anti")

@@ -6,14 +6,16 @@ final aggregation, so a key with very many versions is reduced before it is shuf
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codec import common_prefix, octets, record_size
 from ..sources.shared import written
-from .ranges import small
+from .ranges import meeting
 
 TOMBSTONE = ""
 #: Keys looked up at once up to which they are broadcast (a probe is a short string).
@@ -31,15 +33,18 @@ def live(entries: DataFrame) -> DataFrame:
     return latest(entries).filter(F.col("val") != TOMBSTONE)
 
 
-def probe(keys: DataFrame) -> DataFrame:
-    """A key frame to join with: broadcast if it has been counted and is small."""
+def asked_for(entries: DataFrame, keys: DataFrame, newest: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``newest`` of the entries whose key is asked for.  Few keys are broadcast and met first; many meet
+    what is left when each key has been reduced to a row, so a key of very many versions is no burden."""
     keys = keys.select("key").distinct()
-    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+    if keys.count() <= BROADCAST_KEYS:
+        return newest(entries.join(F.broadcast(keys), "key", "left_semi"))
+    return newest(entries).join(keys, "key", "left_semi")
 
 
 def get(entries: DataFrame, keys: DataFrame, *, raw: bool = False) -> DataFrame:
     """Newest versions of the keys asked for; ``raw`` shows tombstones."""
-    found = latest(entries.join(probe(keys), "key", "left_semi"))
+    found = asked_for(entries, keys, latest)
     return found if raw else found.filter(F.col("val") != TOMBSTONE)
 
 
@@ -59,9 +64,19 @@ def scan(entries: DataFrame, low: str | None = None, high: str | None = None) ->
 
 
 def merged(inputs: list[DataFrame]) -> DataFrame:
-    """All versions from several inputs; version counts from 1, the newest, within each key."""
+    """All versions from several inputs; version counts from 1, the newest, within each key.  Entries are
+    laid out by key and age, so the versions of a key that has very many lie in several parts; what
+    comes before a part within its key is counted, a row for each key and part that it shares."""
     every = reduce(DataFrame.unionByName, inputs)
-    return every.withColumn("version", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("seq"))))
+    n = int(every.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = every.repartitionByRange(n, "key", F.desc("seq")).withColumn("part", F.spark_partition_id())
+    laid = written(laid, "merge")
+    counts = laid.groupBy("key", "part").agg(F.count("*").alias("n"))
+    earlier = F.sum("n").over(Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    shared = counts.withColumn("earlier", earlier).filter("earlier > 0").select("key", "part", "earlier")  # fewer rows than parts
+    within = F.row_number().over(Window.partitionBy("key", "part").orderBy(F.desc("seq")))
+    out = laid.withColumn("within", within).join(F.broadcast(shared), ["key", "part"], "left")
+    return out.select(*every.columns, (F.col("within") + F.coalesce("earlier", F.lit(0))).alias("version"))
 
 
 def first_last(entries: DataFrame, *by: str) -> DataFrame:
@@ -94,6 +109,58 @@ def block_index(entries: DataFrame, per_block: int) -> DataFrame:
     return blocks.withColumn("offset", F.sum("len").over(Window.partitionBy("fid").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))).fillna({"offset": 0})
 
 
+BLOCK = "fid bigint, block bigint, base_key string, n bigint, len bigint"
+HEADER, OFFSET, TAIL = 4, 4, 16  # bytes of an entry's header, of its offset, and of a block's own fields
+
+
+def cut_blocks(entries: DataFrame, block_size: int) -> DataFrame:
+    """Blocks of sorted tables (fid) as they fill up: an entry begins a new block if the block with it would
+    take more than ``block_size`` bytes (its key counted whole; in the block, keys are kept as what
+    they add to the block's first).  fid, block, base_key, n entries, len bytes of entries.  One pass
+    over each table in order of key, with one block in memory."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, block, base, n, size = None, 0, b"", 0, 0
+        out: list[tuple] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if out:
+                cols = zip(*out)
+                types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["fid", "block", "base_key", "n", "len"])
+                out.clear()
+
+        for batch in batches:
+            for fid, key, val in zip(*(c.to_pylist() for c in batch.columns)):
+                if n and (fid != now or size + HEADER + len(key) + val + (n + 1) * OFFSET + TAIL > block_size):
+                    out.append((now, block, base.decode(), n, size))
+                    block, n, size = block + 1, 0, 0
+                if fid != now:
+                    now, block = fid, 0
+                if not n:
+                    base = key
+                same = 0
+                if n:
+                    same = next((i for i, (x, y) in enumerate(zip(key, base)) if x != y), min(len(key), len(base)))
+                size += HEADER + len(key) - same + val
+                n += 1
+            yield from flush()
+        if n:
+            out.append((now, block, base.decode(), n, size))
+            yield from flush()
+
+    parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = entries.select(F.col("fid").cast("bigint").alias("fid"), F.col("key").cast("binary").alias("key"), octets(F.col("val")).alias("val"))
+    return rows.repartition(parts, "fid").sortWithinPartitions("fid", "key").mapInArrow(fold, BLOCK)
+
+
+def rolled(blocks: DataFrame, table_size: int) -> DataFrame:
+    """fid, block, full: after which block a table has reached its capacity (the bytes of the blocks up to it
+    are more than ``table_size``)."""
+    so_far = F.sum("len").over(Window.partitionBy("fid").orderBy("block").rowsBetween(Window.unboundedPreceding, 0))
+    return blocks.select("fid", "block", (so_far > table_size).alias("full"))
+
+
 def prefix_delta(entries: DataFrame, per_block: int) -> DataFrame:
     """Each key as its overlap with its block's base key and the rest (``fid`` partitions the tables)."""
     w = Window.partitionBy("fid").orderBy("key")
@@ -125,12 +192,11 @@ def floor_seek(probes: DataFrame, index: DataFrame) -> DataFrame:
 
 def newest_hit(keys: DataFrame, tables: DataFrame) -> DataFrame:
     """For each key the newest table (fid) that has it, with its newest value there."""
-    hit = tables.join(probe(keys), "key", "left_semi")
     best = F.max_by(F.struct("fid", "val"), F.struct("fid", "seq"))
-    return hit.groupBy("key").agg(best.alias("b")).select("key", "b.fid", "b.val")
+    return asked_for(tables, keys, lambda t: t.groupBy("key").agg(best.alias("b")).select("key", "b.fid", "b.val"))
 
 
 def candidate_tables(keys: DataFrame, stats: DataFrame) -> DataFrame:
     """Tables whose key range holds each key.  ``stats`` is file-level metadata (a row a file)."""
-    inside = (F.col("min_key") <= F.col("key")) & (F.col("key") <= F.col("max_key"))
-    return keys.select("key").distinct().join(small(stats), inside).select("key", "fid")
+    asked = keys.select("key").distinct()
+    return meeting(asked, stats.select("fid", "min_key", "max_key"), "key", "key", "min_key", "max_key").select("key", "fid")
