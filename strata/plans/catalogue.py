@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from ..operators import bloom, ranges, resolve
 from ..options import Options
 from ..sources import manifest, wal
 from ..sources.shared import new_path
-from ..store import Store
+from ..store import PUSHED_KEYS, Store
 from ..streaming import ingest
 from . import planner
 from .fixtures import SQL, changes, kv_customers, kv_events, kv_orders, kv_parts, level_tables, order_tables, sst_events
@@ -37,11 +38,12 @@ def query(sql: str | None = None, *tables: str):
 
 EVENTS = ("kv_events", "latest_events")
 SST = ("kv_events", "sst_events", "stats_events")
-ASKED = "SELECT CAST(x AS VARCHAR) AS key FROM range(0, 400, 7) AS r(x)"
+#: Keys to look up: those of a whole table, some of which are there and some not.
+ASKED = "SELECT CAST(c_custkey AS VARCHAR) AS key FROM customer"
 
 
-def _asked(spark: SparkSession) -> DataFrame:
-    return spark.range(0, 400, 7).select(F.col("id").cast("string").alias("key"))
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").cast("string").alias("key"))
 
 
 # Reading
@@ -59,17 +61,17 @@ def kv_compact(spark, d):
 
 @query(f"SELECT key, val, seq FROM latest_events WHERE val <> '' AND key IN ({ASKED})", *EVENTS)
 def kv_get(spark, d):
-    return resolve.get(kv_events(spark, d), _asked(spark))
+    return resolve.get(kv_events(spark, d), _asked(spark, d))
 
 
 @query(f"SELECT a.key, l.val FROM ({ASKED}) a LEFT JOIN (SELECT * FROM latest_events WHERE val <> '') l USING (key)", *EVENTS)
 def kv_get_missing(spark, d):
-    return resolve.get_or_null(kv_events(spark, d), _asked(spark))
+    return resolve.get_or_null(kv_events(spark, d), _asked(spark, d))
 
 
 @query(f"SELECT key, val, seq FROM latest_events WHERE key IN ({ASKED})", *EVENTS)
 def kv_raw_get(spark, d):
-    return resolve.get(kv_events(spark, d), _asked(spark), raw=True)
+    return resolve.get(kv_events(spark, d), _asked(spark, d), raw=True)
 
 
 @query("SELECT key, val, seq FROM latest_events WHERE val <> '' AND key >= '12' AND key <= '5'", *EVENTS)
@@ -90,12 +92,12 @@ def kv_first_last(spark, d):
 
 @query(f"SELECT key, fid, val FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY fid DESC, seq DESC) AS n FROM sst_events WHERE key IN ({ASKED})) WHERE n = 1", "kv_events", "sst_events")
 def l0_search(spark, d):
-    return resolve.newest_hit(_asked(spark), sst_events(spark, d))
+    return resolve.newest_hit(_asked(spark, d), sst_events(spark, d))
 
 
 @query(f"SELECT a.key, t.fid FROM ({ASKED}) a JOIN order_tables t ON a.key BETWEEN t.min_key AND t.max_key", "kv_orders", "order_tables")
 def level_search(spark, d):
-    return resolve.candidate_tables(_asked(spark), order_tables(spark, d))
+    return resolve.candidate_tables(_asked(spark, d), order_tables(spark, d))
 
 
 # Segments and tables
@@ -138,6 +140,38 @@ def block_index(spark, d):
     return _index(spark, d)
 
 
+BLOCK_SIZE, TABLE_SIZE = 1024, 4096
+# The fold that fills blocks, an entry a step, all tables at once.
+SQL["cut"] = f"""ordered AS (
+  SELECT seq // 500 AS fid, key, {_KL} AS k, {_VL} AS v, row_number() OVER (PARTITION BY seq // 500 ORDER BY key) AS i FROM kv_orders
+), fold AS (
+  SELECT fid, i, CAST(0 AS BIGINT) AS block, key AS base_key, CAST(1 AS BIGINT) AS n, CAST(4 + k + v AS BIGINT) AS len FROM ordered WHERE i = 1
+  UNION ALL
+  SELECT fid, i, CASE WHEN over THEN block + 1 ELSE block END, CASE WHEN over THEN key ELSE base_key END, CASE WHEN over THEN 1 ELSE n + 1 END,
+    CASE WHEN over THEN 4 + k + v ELSE len + 4 + k + v - same END
+  FROM (
+    SELECT o.*, f.block, f.base_key, f.n, f.len, f.len + 4 + o.k + o.v + (f.n + 1) * 4 + 16 > {BLOCK_SIZE} AS over,
+      len(list_filter(range(1, length(o.key) + 1), lambda c: left(o.key, c) = left(f.base_key, c))) AS same
+    FROM fold f JOIN ordered o ON o.fid = f.fid AND o.i = f.i + 1)
+), cut AS (
+  SELECT fid, block, base_key, max(n) AS n, max(len) AS len FROM fold GROUP BY ALL
+)"""
+
+
+def _cut(spark, d):
+    return resolve.cut_blocks(kv_orders(spark, d).withColumn("fid", F.expr("seq div 500")), BLOCK_SIZE)
+
+
+@query("SELECT fid, block, base_key, n, len FROM cut", "kv_orders", "cut")
+def block_cut(spark, d):
+    return _cut(spark, d)
+
+
+@query(f"SELECT fid, block, sum(len) OVER (PARTITION BY fid ORDER BY block) > {TABLE_SIZE} AS \"full\" FROM cut", "kv_orders", "cut")
+def table_capacity(spark, d):
+    return resolve.rolled(_cut(spark, d), TABLE_SIZE)
+
+
 _DELTAS = """deltas AS (
   SELECT *, CAST(len([i FOR i IN range(1, length(key) + 1) IF left(key, i) = left(base_key, i)]) AS INTEGER) AS overlap FROM (
     SELECT *, min(key) OVER (PARTITION BY fid, block) AS base_key FROM (
@@ -164,34 +198,37 @@ def floor_seek(spark, d):
 # Bloom filters
 
 PER_KEY = bloom.bits_per_key(0.01)
-SQL["shape"] = f"shape AS (SELECT count(*) AS n, {min(max(int(PER_KEY * 0.69), 1), 30)} AS k, (greatest(64, count(*) * {PER_KEY}) + 7) // 8 * 8 AS n_bits FROM kv_customers WHERE seq % 2 = 0)"
+SQL["shape"] = f"shape AS (SELECT count(*) AS n, {bloom.sizing(0, PER_KEY)[0]} AS k, (greatest(64, count(*) * {PER_KEY}) + 7) // 8 * 8 AS n_bits FROM kv_customers)"
 _HASH = "CAST('0x' || substring(md5(key), 1, 8) AS BIGINT)"
-SQL["hashed"] = f"hashed AS (SELECT key, seq, {_HASH} AS h, ({_HASH} >> 17) | (({_HASH} * 32768) & 4294967295) AS delta FROM kv_customers)"
-SQL["bits"] = "bits AS (SELECT key, seq, ((h + i * delta) & 4294967295) % n_bits AS bit FROM hashed, shape, range(0, k) AS r(i))"
+SQL["hashed"] = f"""hashed AS (SELECT key, inside, {_HASH} AS h, ({_HASH} >> 17) | (({_HASH} * 32768) & 4294967295) AS delta FROM (
+  SELECT key, true AS inside FROM kv_customers UNION ALL SELECT s_name, false FROM supplier UNION ALL SELECT p_name || '#' || p_partkey, false FROM part))"""
+SQL["bits"] = "bits AS (SELECT key, inside, ((h + i * delta) & 4294967295) % n_bits AS bit FROM hashed, shape, range(0, k) AS r(i))"
 BLOOM = ("kv_customers", "shape", "hashed", "bits")
 
 
-def _even(spark, d):
-    return bloom.build(kv_customers(spark, d).filter("seq % 2 = 0").select("key"), PER_KEY)
+def _filter(spark, d):
+    """The filter of all customers' names."""
+    return bloom.build(kv_customers(spark, d).select("key"), PER_KEY)
 
 
-@query("SELECT DISTINCT CAST(bit AS BIGINT) AS bit FROM bits WHERE seq % 2 = 0", *BLOOM)
+@query("SELECT DISTINCT CAST(bit AS BIGINT) AS bit FROM bits WHERE inside", *BLOOM)
 def bloom_bits(spark, d):
-    return _even(spark, d)[0]
+    return _filter(spark, d)[0]
 
 
-@query("SELECT key, bool_and(bit IN (SELECT bit FROM bits WHERE seq % 2 = 0)) AS may_contain FROM bits GROUP BY key", *BLOOM)
+@query("SELECT key, bool_and(bit IN (SELECT bit FROM bits WHERE inside)) AS may_contain FROM bits GROUP BY key", *BLOOM)
 def bloom_probe(spark, d):
-    bits, k, n_bits = _even(spark, d)
-    return bloom.probe(kv_customers(spark, d).select("key"), bits, k, n_bits)
+    """Asked for customers, who are all in it, and for suppliers and parts, who are not."""
+    bits, k, n_bits = _filter(spark, d)
+    suppliers = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_name").alias("key"))
+    asked = kv_customers(spark, d).select("key").unionByName(suppliers).unionByName(kv_parts(spark, d).select("key"))
+    return bloom.probe(asked, bits, k, n_bits)
 
 
 @query("SELECT CAST(p_size AS BIGINT) AS n, CAST(least(greatest(CAST(floor(bpk * CAST(0.69 AS DOUBLE)) AS BIGINT), 1), 30) AS BIGINT) AS k, CAST((greatest(64, p_size * bpk) + 7) // 8 * 8 AS BIGINT) AS n_bits FROM (SELECT DISTINCT p_size, CAST(ceil(-ln(CAST(0.01 AS DOUBLE)) / (CAST(0.69314718056 AS DOUBLE) * CAST(0.69314718056 AS DOUBLE))) AS BIGINT) AS bpk FROM part)")
 def bloom_sizing(spark, d):
-    n = F.col("p_size").cast("bigint")
-    k = min(max(int(PER_KEY * 0.69), 1), 30)
-    bits = F.expr(f"(greatest(64, p_size * {PER_KEY}) + 7) div 8 * 8")
-    return spark.read.parquet(f"{d}/part.parquet").select("p_size").distinct().select(n.alias("n"), F.lit(k).cast("bigint").alias("k"), bits.cast("bigint").alias("n_bits"))
+    sizes = [r.p_size for r in spark.read.parquet(f"{d}/part.parquet").select("p_size").distinct().collect()]  # a few dozen
+    return spark.createDataFrame([(n, *bloom.sizing(n, PER_KEY)) for n in sizes], "n bigint, k bigint, n_bits bigint")
 
 
 # Key ranges and planning
@@ -344,11 +381,44 @@ def odometer_strings(spark, d):
     return spark.read.parquet(f"{d}/orders.parquet").select(n).select("n", codec.odometer(F.col("n")).alias("word"))
 
 
-@query()
+# CRC-32 over the bytes of a page: a step a byte, each by eight steps a bit.
+_BIT = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+SQL["crc_table"] = f"""crc_bits AS (
+  SELECT CAST(i AS BIGINT) AS i, 0 AS k, CAST(i AS BIGINT) AS c FROM range(0, 256) AS r(i) UNION ALL SELECT i, k + 1, {_BIT} FROM crc_bits WHERE k < 8
+), crc_table AS (SELECT list(c ORDER BY i) AS t FROM crc_bits WHERE k = 8)"""
+
+
+def _crc_sql(text: str) -> str:
+    byte = f"[CAST('0x' || substring(hex(encode({text})), 2 * j + 1, 2) AS BIGINT) FOR j IN range(0, octet_length(encode({text})))]"
+    return f"xor(list_reduce({byte}, lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
+@query(f"SELECT page_id, {_crc_sql('damaged')} AS crc, {_crc_sql('url')} = {_crc_sql('damaged')} AS ok FROM (SELECT page_id, url, CASE WHEN page_id % 7 = 3 THEN reverse(url) ELSE url END AS damaged FROM pages), crc_table", "crc_table")
 def crc_check(spark, d):
-    """CRC-32 of each page and whether a stored one agrees (there is no such function in the SQL engine)."""
-    p = spark.read.parquet(f"{d}/pages.parquet")
-    return p.select("page_id", codec.checksum(F.col("html")).alias("crc"), (codec.checksum(F.col("html")) == F.crc32(F.encode("html", "UTF-8"))).alias("ok"))
+    """Pages with a stored checksum, some of them damaged since: the checksum of what is there, and whether it
+    is the stored one."""
+    p = spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.col("url").alias("content"), codec.checksum(F.col("url")).alias("stored"))
+    p = p.withColumn("content", F.when(F.col("page_id") % 7 == 3, F.reverse("content")).otherwise(F.col("content")))
+    return p.select("page_id", codec.checksum(F.col("content")).alias("crc"), codec.verified(F.col("content"), F.col("stored")).alias("ok"))
+
+
+def _hex64(v: str) -> str:
+    n = "CASE " + " ".join(f"WHEN {v} < {1 << 7 * k} THEN {k}" for k in range(1, 9)) + " ELSE 9 END"
+    part = [f"CASE WHEN {n} > {k} THEN printf('%02X', (({v} >> {7 * k}) & 127) + CASE WHEN {n} > {k + 1} THEN 128 ELSE 0 END) ELSE '' END" for k in range(9)]
+    return "(" + " || ".join(part) + ")"
+
+
+@query(f"SELECT v, {_hex64('v')} AS hex, v AS decoded FROM (SELECT DISTINCT CAST((o_orderkey * CAST(2654435761 AS HUGEINT) * 2246822519) % 9223372036854775783 AS BIGINT) >> (o_orderkey % 63) AS v FROM orders)")
+def varint64_hex(spark, d):
+    v = F.expr("shiftright(cast((cast(o_orderkey as decimal(38)) * 2654435761 * 2246822519) % 9223372036854775783 as bigint), cast(o_orderkey % 63 as int))")
+    rows = spark.read.parquet(f"{d}/orders.parquet").select(v.alias("v")).distinct()
+    rows = rows.withColumn("hex", codec.varint_hex(F.col("v"), 64))
+    return rows.select("v", "hex", codec.varint_value(F.col("hex"), 64).alias("decoded"))
+
+
+@query(f"SELECT o_orderkey AS n, array_to_string([('{codec.ALPHABET}')[CAST('0x' || substring(md5(CAST(o_orderkey AS VARCHAR) || ':' || CAST(i AS VARCHAR)), 1, 8) AS BIGINT) % {len(codec.ALPHABET)} + 1] FOR i IN range(1, 9)], '') AS word FROM orders")
+def random_strings(spark, d):
+    return spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("n"), codec.rand_str(F.col("o_orderkey"), 8).alias("word"))
 
 
 @query("SELECT page_id, html AS text FROM pages")
@@ -399,6 +469,58 @@ def compact_invariant(spark, d):
     return s.scan().select("key", "val")
 
 
+@query(_LIVE, *EVENTS)
+def concurrent_compaction(spark, d):
+    """Several compactions in flight at a time, where they do not meet, until none is due."""
+    s = _store(spark)
+    for b in _batches(spark, d):
+        s.put(b)
+        s.flush()
+    s.compact_all(workers=3)
+    return s.scan().select("key", "val")
+
+
+@query("SELECT a.key, l.val FROM (" + ASKED + ") a JOIN latest_events l USING (key) WHERE l.val <> ''", *EVENTS)
+def get_pruned(spark, d):
+    """Look-ups, a bounded number of keys at a time, that read only the files and row groups which may have
+    one of them."""
+    s = _store(spark)
+    s.put(kv_events(spark, d).withColumnRenamed("seq", "ord"))
+    s.flush()
+    keys = [r.key for r in _asked(spark, d).collect()]
+    found = [s.get(keys[k : k + PUSHED_KEYS]) for k in range(0, len(keys), PUSHED_KEYS)]
+    return reduce(DataFrame.unionByName, found).select("key", "val")
+
+
+@query("SELECT CAST(greatest(1, n) AS BIGINT) AS version, n AS files FROM (SELECT count(*) AS n FROM range(0, 40))")
+def manifest_checkpoint(spark, d):
+    """A store of forty commits, opened again from its last checkpoint and the commits after it."""
+    storage = manifest.Storage(spark, new_path(spark, "manifest"))
+    m = manifest.Manifest(storage, every=16)
+    for k in range(40):
+        storage.create(f"data/{k}", "")
+        m.commit([manifest.File(0, 0, f"data/{k}", "a", "b", 1, 1, k, k, 0.0)], [])
+    again = manifest.Manifest(storage, every=16)
+    return spark.createDataFrame([(again.now.version, len(again.now.files))], "version bigint, files bigint")
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS rows, true AS ok FROM kv_events", "kv_events")
+def store_verify(spark, d):
+    """Every file of the log against the count and checksum that its commit states."""
+    s = _store(spark)
+    for b in _batches(spark, d):
+        s.put(b)
+    return s.verify().agg(F.sum("rows").cast("bigint").alias("rows"), F.bool_and("ok").alias("ok"))
+
+
+@query("SELECT fid, row_number() OVER (PARTITION BY fid ORDER BY seq) - 1 AS ord, key, val FROM sst_events", "kv_events", "sst_events")
+def wal_files(spark, d):
+    """Log segments written to files, record by record, and read back."""
+    folder = new_path(spark, "wal")
+    wal.write_segments(sst_events(spark, d), folder).count()
+    return wal.decode(wal.read_segments(spark, folder))
+
+
 @query(_LIVE, *EVENTS)
 def reopen(spark, d):
     s = _store(spark)
