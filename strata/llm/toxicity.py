@@ -1,17 +1,23 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
 A clause is a run of words between stops.  A lexical transducer maps its words to symbols
-(insult, threat, target, negation, reported speech, other) with a weight for each insult and
-threat.  Three small transducers rewrite the symbols: negation weakens what follows within its
-reach, reported speech what follows it in the clause, and a target strengthens what it goes
-with.  They are composed once into one deterministic transducer, which is run over each clause
-that holds an insult or a threat; single words have no score of their own.
+(insult, threat, target, self, modal, negation, reported speech, contest, other) with a weight
+for each insult and threat.  Small transducers over the symbols then match patterns of several
+words.  From left to right: negation weakens what follows within its reach; reported speech
+weakens what follows it in the clause; an insult soon after a target is aimed; a threat soon
+after a self or a modal is announced.  From right to left: a threat counts only if its object, a
+target, follows soon, more so if it is announced, and hardly if a contest follows ("beat you at
+chess"); an insult soon before a target is aimed too.  Those of one direction are composed into one
+deterministic transducer, and a clause is read once each way (a bimachine).  Its score is the sum of
+the matches' weights; the weakest pattern is an insult named in a clause without a target, and a
+threat without an object matches none.
 
 The vocabulary of insults is a short seed list and what the labels teach: whole words and word
-beginnings (inflected stems) that are far commoner in toxic texts, by a likelihood ratio test.
-A logistic model turns the clause scores of a text into a probability.  Both are fitted on at
-most ``TRAIN_ROWS`` labelled rows (those with the smallest hash of their id), each distinct text
-once; texts are counted where they lie, and only counts and three numbers a row reach the driver.
+beginnings (inflected stems) that are far commoner in toxic texts, by a likelihood ratio test whose
+limit follows from the number of terms tested.  A logistic model turns the clause scores of a text
+into a probability.  Both are fitted on at most ``TRAIN_ROWS`` labelled rows (those with the
+smallest hash of their id), each distinct text once; texts are counted where they lie, and only
+the terms that pass the test and three numbers a row reach the driver.
 
 Null text counts as empty and gets the score of a text without matches; rows without a label, or
 with a null one, are scored like others; several labels of one document count as toxic if any is;
@@ -24,7 +30,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import ahocorasick
 import numpy as np
@@ -35,12 +42,11 @@ from pyspark.sql import functions as F
 from . import scratch
 
 TRAIN_ROWS = 20_000
-MOST_TERMS = 2_000
 PREFIXES = range(4, 9)  # code points of a word beginning
-LEAST_RATIO, LEAST_LIFT = 30.0, 2.0  # of the likelihood ratio test; log of the rate's ratio
+LEAST_LIFT = 2.0  # log of the ratio of a term's rates
 THRESHOLD = 0.3
 SEED_WEIGHT, MOST_WEIGHT = 3.0, 6.0
-REACH = 3  # words that a negation goes on for
+REACH = 3  # words that a negation, a target, a self or a modal goes on for
 
 WORD = re.compile(r"[^\W\d_]+")
 STOP = re.compile(r"[.!?;:,\n]+")
@@ -48,11 +54,17 @@ STOP = re.compile(r"[.!?;:,\n]+")
 # Seed words of each symbol, in the corpus' languages.
 INSULTS = "idiot idiots moron morons stupid loser losers scum trash worthless pathetic disgusting clown imbecile dumb idiota imbécil estúpido basura escoria dummkopf idiotin abschaum versager wertlos idiote crétin stupide ordure minable".split()
 THREATS = "kill hurt destroy murder beat stab shoot burn töten umbringen verletzen tuer frapper détruire matar golpear destruir".split()
-TARGETS = "you your yours u he she they him her them these those people du dich dein ihr euch sie tu te toi vous ton votre usted ustedes tú ellos".split()
+TARGETS = "you your yours u he they him her them these those people du dich dein ihr euch sie tu te toi vous ton votre usted ustedes tú ellos".split()
+SELVES = "i we ich wir je nous yo nosotros".split()
+MODALS = "will ll gonna going shall want must should let werde werden wird vais allons veux voy vamos quiero".split()
 NEGATIONS = "not never no nobody isn aren wasn don doesn cannot nicht nie kein keine pas jamais aucun ni nunca jamás".split()
 REPORTS = "said says wrote writes claimed reported quoted according called alleged sagte schrieb behauptete laut dit écrit déclaré selon dijo escribió según afirmó".split()
+CONTESTS = "at im beim".split()
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = "oithnr"
+OTHER, INSULT, THREAT, TARGET, SELF, MODAL, NEGATION, REPORT, CONTEST = "oitgsmnrc"
+AIMED, ANNOUNCED, MATCHED = "IMT"  # what the patterns put out for insults and threats
+READ = OTHER + INSULT + THREAT + TARGET + SELF + MODAL + NEGATION + REPORT + CONTEST
+WRITTEN = READ + AIMED + ANNOUNCED
 
 
 class Transducer:
@@ -81,36 +93,57 @@ class Transducer:
         return Transducer(start, arcs)
 
 
-def _negation() -> Transducer:
+def _fading(marks: str, change: dict[str, tuple[str, float]]) -> Transducer:
+    """One of ``marks`` holds for ``REACH`` words; what comes in that reach is changed (symbol put out, factor)."""
     arcs = {}
     for k in range(REACH + 1):
-        arcs[k, NEGATION] = (REACH, NEGATION, 1.0)
-        for s in (OTHER, TARGET, REPORT):
-            arcs[k, s] = (max(k - 1, 0), s, 1.0)
-        for s in (INSULT, THREAT):
-            arcs[k, s] = (max(k - 1, 0), s, 0.3 if k else 1.0)
+        for x in WRITTEN:
+            arcs[k, x] = (REACH if x in marks else max(k - 1, 0), *(change[x] if k and x in change else (x, 1.0)))
     return Transducer(0, arcs)
 
 
+def _negation() -> Transducer:
+    return _fading(NEGATION, {INSULT: (INSULT, 0.3), THREAT: (THREAT, 0.3)})
+
+
 def _reported() -> Transducer:
     arcs = {(k, REPORT): (1, REPORT, 1.0) for k in (0, 1)}
     arcs |= {(1, s): (1, s, 0.5) for s in (INSULT, THREAT)}
     return Transducer(0, arcs)
 
 
-def _target() -> Transducer:
-    """A threat needs a target to count in full; an insult counts more with one.  A target that comes
-    after them is taken up by the final weight ``LATE``."""
-    arcs = {}
-    for state in ("none", "target", "match", "both"):
-        arcs[state, TARGET] = ({"none": "target", "match": "both"}.get(state, state), TARGET, 1.0)
-        hit = {"none": "match", "target": "both"}.get(state, state)
-        arcs[state, INSULT] = (hit, INSULT, 1.5 if state in ("target", "both") else 1.0)
-        arcs[state, THREAT] = (hit, THREAT, 1.0 if state in ("target", "both") else 0.3)
+def _aimed() -> Transducer:
+    return _fading(TARGET, {INSULT: (AIMED, 1.5)})
+
+
+def _announced() -> Transducer:
+    return _fading(SELF + MODAL, {THREAT: (ANNOUNCED, 1.0)})
+
+
+def _contest() -> Transducer:
+    """Right to left: a threat whose object stands right before a contest is a game's."""
+    arcs = {("none", CONTEST): ("contest", CONTEST, 1.0), ("contest", CONTEST): ("contest", CONTEST, 1.0), ("contest", TARGET): ("object", TARGET, 1.0)}
+    for x in WRITTEN:
+        arcs.setdefault(("contest", x), ("none", x, 1.0))
+        arcs[("object", x)] = ("none", x, 0.1 if x in (THREAT, ANNOUNCED) else 1.0)
+    arcs["object", CONTEST] = ("contest", CONTEST, 1.0)
     return Transducer("none", arcs)
 
 
-LATE = 1.2
+def _object() -> Transducer:
+    """Right to left: a threat needs a target after it; an insult with one after it is aimed."""
+    t = _fading(TARGET, {THREAT: (MATCHED, 0.5), ANNOUNCED: (MATCHED, 1.5), INSULT: (AIMED, 1.2)})
+    for x in (THREAT, ANNOUNCED):
+        t.arcs[0, x] = (0, x, 0.0)
+    return t
+
+
+FORWARD, BACKWARD = (_negation, _reported, _aimed, _announced), (_contest, _object)
+
+
+def _composed(parts: tuple[Callable[[], Transducer], ...]) -> Transducer:
+    first, *others = [p() for p in parts]
+    return reduce(lambda a, b: a.compose(b, WRITTEN), others, first)
 
 
 class Grammar:
@@ -120,9 +153,9 @@ class Grammar:
         self.words = {w: (INSULT, SEED_WEIGHT) for w in INSULTS} | {w: (THREAT, SEED_WEIGHT) for w in THREATS}
         self.words |= {w: (INSULT, v) for w, v in weights.items() if w[-1] != "*"}
         self.stems = {w[:-1]: v for w, v in weights.items() if w[-1] == "*"}
-        self.context = {w: s for s, ws in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in ws}
-        symbols = OTHER + INSULT + THREAT + TARGET + NEGATION + REPORT
-        self.machine = _negation().compose(_reported(), symbols).compose(_target(), symbols)
+        marks = ((TARGET, TARGETS), (SELF, SELVES), (MODAL, MODALS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (CONTEST, CONTESTS))
+        self.context = {w: s for s, ws in marks for w in ws}
+        self.forward, self.backward = _composed(FORWARD), _composed(BACKWARD)
         self.finder = ahocorasick.Automaton()
         for w in {*self.words, *self.stems}:
             self.finder.add_word(w, len(w))
@@ -139,14 +172,19 @@ class Grammar:
         return best or (self.context.get(word, OTHER), 0.0)
 
     def clause(self, words: list[str]) -> float:
-        state, total = self.machine.start, 0.0
+        """The sum of the weights of a clause's matches."""
+        state, symbols, weights = self.forward.start, [], []
         for w in words:
             symbol, weight = self.lexical(w)
-            before = state
-            state, _, factor = self.machine.step(state, symbol)
+            state, symbol, factor = self.forward.step(state, symbol)
+            symbols.append(symbol)
+            weights.append(weight * factor)
+        if not any(weights):
+            return 0.0
+        state, total = self.backward.start, 0.0
+        for symbol, weight in zip(reversed(symbols), reversed(weights)):
+            state, _, factor = self.backward.step(state, symbol)
             total += weight * factor
-            if symbol == TARGET and before[1] == "match":
-                total *= LATE
         return total
 
     def features(self, text: str) -> tuple[float, float, float]:
@@ -213,10 +251,11 @@ def learn_terms(train: DataFrame) -> dict[str, float]:
     n0, n1 = float(whole.other), float(whole.toxic)
     share = n1 / (n0 + n1)
     a, b = F.col("toxic").cast("double"), F.col("other").cast("double")
+    least = 2 * math.log(max(counts.count(), 2))  # of so many terms that say nothing, about one passes
     lift = F.log((a + 0.5) / (n1 + 1)) - F.log((b + 0.5) / (n0 + 1))
     ratio = 2 * (a * F.log(a / ((a + b) * share)) + F.when(b > 0, b * F.log(b / ((a + b) * (1 - share)))).otherwise(0.0))
-    top = counts.filter((F.col("term") != "") & (lift >= LEAST_LIFT) & (ratio >= LEAST_RATIO)).select("term", lift.alias("lift"), ratio.alias("ratio"))
-    rows = top.orderBy(F.desc("ratio"), "term").limit(MOST_TERMS).collect()
+    top = counts.filter((F.col("term") != "") & (lift >= LEAST_LIFT) & (ratio >= least)).select("term", lift.alias("lift"))
+    rows = top.orderBy("term").collect()  # of the words of TRAIN_ROWS texts at most
     found = {r.term: min(r.lift, MOST_WEIGHT) for r in rows}
     # A longer beginning (or a word) says nothing that a beginning of it does not say as strongly.
     return {t: w for t, w in found.items() if not any(found.get(t.rstrip("*")[:n] + "*", 0.0) >= w and t != t[:n] + "*" for n in PREFIXES if n <= len(t.rstrip("*")))}

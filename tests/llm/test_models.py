@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -15,28 +16,46 @@ LARGE = "/root/testdata/sf0.1"
 # Toxicity
 
 
+def score_of(sentence):
+    return toxicity.Grammar({}).clause(sentence.split())
+
+
 def test_clauses_not_words():
-    g = toxicity.Grammar({})
-    plain, aimed, negated, quoted = (g.clause(s.split()) for s in ("what an idiot", "you are an idiot", "you are not an idiot", "she said you are an idiot"))
-    assert aimed > plain > negated and aimed > quoted > 0
-    assert g.clause("we kill the process".split()) < g.clause("you we kill now".split())
-    assert g.clause("not one of the many idiot".split()) == pytest.approx(plain)
-    assert g.clause([]) == g.clause(["good", "day"]) == 0
-
-
-def test_composition_is_running_one_after_the_other():
-    r, symbols = random.Random(1), "oithnr"
-    parts = [toxicity._negation(), toxicity._reported(), toxicity._target()]
-    both = parts[0].compose(parts[1], symbols).compose(parts[2], symbols)
-    for _ in range(200):
-        state, states, a, b = both.start, [p.start for p in parts], 1.0, 1.0
-        for s in r.choices(symbols, k=8):
-            state, _, w = both.step(state, s)
-            a *= w
-            for k, p in enumerate(parts):
-                states[k], s, w = p.step(states[k], s)
-                b *= w
-        assert a == pytest.approx(b)
+    plain, aimed, negated, quoted = map(score_of, ("what an idiot", "you are an idiot", "you are not an idiot", "she said you are an idiot"))
+    assert aimed > plain > negated > 0 and aimed > quoted > 0
+    assert aimed > score_of("idiot you") > plain
+    assert score_of("i will kill you") > score_of("kill you") > score_of("i am going to beat you at chess") > 0
+    assert score_of("i will kill you") > score_of("never will i kill you") > 0
+    assert score_of("we kill the process") == score_of("") == score_of("good day to you") == 0
+    assert score_of("not one of the many idiot") == plain
+
+
+def interpreted(symbols):
+    """The small transducers run one after the other, none composed: factor of each place."""
+    factors, place = [1.0] * len(symbols), [*range(len(symbols))]
+    for parts, turned in ((toxicity.FORWARD, False), (toxicity.BACKWARD, True)):
+        if turned:
+            symbols, place = symbols[::-1], place[::-1]
+        for part in parts:
+            t, state, out = part(), None, []
+            state = t.start
+            for k, x in enumerate(symbols):
+                state, y, w = t.step(state, x)
+                factors[place[k]] *= w
+                out.append(y)
+            symbols = out
+    return factors
+
+
+def test_the_grammar_is_its_transducers_one_after_the_other():
+    """Random clauses of every symbol against the interpreter of the parts as they are."""
+    r, g = random.Random(3), toxicity.Grammar({})
+    word = {toxicity.OTHER: "table", toxicity.INSULT: "idiot", toxicity.THREAT: "kill"} | {v: k for k, v in g.context.items()}
+    assert set(word) == set(toxicity.READ)
+    for _ in range(500):
+        symbols = r.choices(toxicity.READ, k=r.randint(0, 10))
+        want = sum(g.lexical(word[x])[1] * f for x, f in zip(symbols, interpreted(symbols)))
+        assert g.clause([word[x] for x in symbols]) == pytest.approx(want)
 
 
 def test_features_of_odd_texts():
@@ -53,7 +72,7 @@ def test_held_out_split_and_quality(spark):
     assert rows.score.between(0, 1).all() and (rows.predicted == (rows.score >= 0.3)).all()
     m = rows[rows.held_out].merge(labels.toPandas(), on="doc_id")
     hit = ((m.predicted == 1) & (m.toxic == 1)).sum()
-    assert hit / (m.predicted == 1).sum() > 0.9 and hit / (m.toxic == 1).sum() > 0.8
+    assert hit / (m.predicted == 1).sum() > 0.9 and hit / (m.toxic == 1).sum() > 0.9
 
 
 def test_labels_of_held_out_rows_are_not_used(spark):
@@ -108,11 +127,27 @@ def test_ties_copies_and_unusable_vectors(spark):
     rows += [(100 + i, rows[0][1], 0, "x", "y") for i in range(500)]
     bad = [None, [0.0] * 8, [float("nan")] * 8, [float("inf")] + [1.0] * 7, [None] + [1.0] * 7, [], [1.0] * 5]
     rows += [(1000 + 50 * i, v, 0, "x", "y") for i, v in enumerate(bad)] + [(None, rows[1][1], 0, "x", "y"), rows[3], rows[3]]
-    got = {}
-    for x in ann.search(vectors(spark, r.sample(rows, len(rows))), F.col("vec_id") % 50 == 0).collect():
-        got.setdefault(x.query_id, {})[x["rank"]] = x.vec_id
-    good = {i: v for i, v, *_ in rows if i is not None and i < 1000}
-    assert {q: [v[k] for k in sorted(v)] for q, v in got.items()} == exact(good, [i for i in good if i % 50 == 0], 5)
+    rows += [rows[0], (50, rows[1][1], 0, "x", "y"), (50, rows[2][1], 0, "x", "y")]
+    got = Counter((x.query_id, x["rank"], x.vec_id) for x in ann.search(vectors(spark, r.sample(rows, len(rows))), F.col("vec_id") % 50 == 0).collect())
+    good = [(i, np.array(v, float)) for i, v, *_ in rows if i is not None and i < 1000]
+    want = Counter()
+    for k, (q, a) in enumerate(good):
+        if q % 50 == 0:
+            near = sorted((round(-float(a @ v) / np.sqrt((a @ a) * (v @ v)), 12), i) for n, (i, v) in enumerate(good) if n != k)
+            want.update((q, rank, i) for rank, (_, i) in enumerate(near[:5], 1))
+    assert got == want and got[0, 1, 0] == 2
+
+
+def test_rows_of_one_id_are_rows_of_their_own(spark):
+    rows = [(1, v, 0, "x", "y") for v in ([1.0, 0.0], [0.0, 1.0], [1.0, 1.0])]
+    got = ann.search(vectors(spark, rows), F.col("vec_id") == 1).collect()
+    assert Counter((x.query_id, x["rank"], x.vec_id) for x in got) == {(1, 1, 1): 3, (1, 2, 1): 3}
+
+
+def test_the_sample_is_bounded(spark):
+    df = spark.range(5000).select(F.col("id").alias("row"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("v"))
+    assert [len(ann.sample(df, n)) for n in (100, 5000, 9000)] == [100, 5000, 5000] and len(ann.sample(df.limit(0), 5)) == 0
+    assert (ann.sample(df, 100) == ann.sample(df.repartition(7), 100)).all()
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 4])
