@@ -1,10 +1,12 @@
 """SimHash near-dedup by deletion-variant signatures.
 
-Fingerprints of 64 bits link at ``MOST`` (4) or fewer differing bits.  Cut into three
-segments, two such fingerprints agree in one segment but for at most one bit.  So each
-distinct fingerprint is indexed under 64 keys, a segment with one of its bits left out;
-equal keys give candidates, which are verified.  A pair is reported under the first key
-that it has in common only.
+Fingerprints of 64 bits link at ``MOST`` (4) or fewer differing bits.  They are cut into parts, and
+segments are made of some of the parts so that two such fingerprints agree in one segment but for at
+most one bit: any of 3 parts alone, any 2 of 5, any 3 of 6, or any 4 of 7.  Each distinct fingerprint
+is indexed under its segments with one bit left out each; equal keys give candidates, which are
+verified.  More parts make more, but rarer keys; the cut follows from the counted fingerprints, so
+that chance brings few together (``CHANCE``).  A pair is reported under the first key that it has in
+common only.
 
 Keys with more than ``CROWD`` fingerprints (large groups of near copies) are not paired.
 Their fingerprints are linked exactly in another way: two fingerprints are within four
@@ -35,7 +37,9 @@ from .components import components
 SHINGLE = 4
 SEED = 42
 MOST = 4
-SEGMENTS = ((0, 21), (21, 21), (42, 22))  # first bit, width
+#: Parts that fingerprints are cut into, and how many of them make a segment.
+CUTS = ((3, 1), (5, 2), (6, 3), (7, 4))
+CHANCE = 128  # fingerprints that may meet one under its keys by chance, on average
 CROWD = 512
 BATCH = 1 << 17
 COMMON = 1000
@@ -70,7 +74,7 @@ def _majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp (the fingerprint's bits as a signed long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,7 +87,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 counts.clear()
 
             for t in batch.column(1):
-                h, n = _hashes(t.as_py() or "")
+                h, n = _hashes(t.as_py() or "", shingle)
                 held += h
                 counts.append(n)
                 if len(held) > BATCH:
@@ -94,42 +98,71 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
-def variants(fps: DataFrame) -> DataFrame:
-    """key, fp: every fingerprint under its 64 one-wildcard segments."""
-    keys = []
-    for first, width in SEGMENTS:
-        segment = F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << width) - 1))
-        keys += [segment.bitwiseAND(F.lit(((1 << width) - 1) & ~(1 << k))).bitwiseOR(F.lit((first + k) << 22)) for k in range(width)]
-    return fps.select(F.explode(F.array(*keys)).alias("key"), "fp")
+def segments(parts: int, used: int) -> list[int]:
+    """The segments of a cut, as masks of their bits."""
+    bounds = [64 * k // parts for k in range(parts + 1)]
+    masks = [(1 << b) - (1 << a) for a, b in zip(bounds, bounds[1:])]
+    return [sum(chosen) for chosen in combinations(masks, used)]
 
 
-def _first_common(x: np.ndarray) -> np.ndarray:
-    """Number (first bit of the segment + wildcard) of the first key that two fingerprints with these
-    differing bits have in common; -1 if none."""
+def chosen_cut(n: int) -> list[int]:
+    """The segments for n distinct fingerprints: of the first cut under whose keys few meet by chance, else
+    of the last."""
+    for cut in CUTS:
+        masks = segments(*cut)
+        if n * sum(m.bit_count() / 2 ** (m.bit_count() - 1) for m in masks) <= CHANCE:
+            break
+    return masks
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def variants(fps: DataFrame, masks: list[int]) -> DataFrame:
+    """key, fp: every fingerprint under its one-wildcard segments.  A key's upper 12 bits are its segment and
+    wildcard (see ``_first_common``), the others a hash of the bits that are left."""
+    places, n = [], 0
+    for mask in masks:
+        for k in range(64):
+            if mask >> k & 1:
+                places.append(F.struct(F.lit(_signed((n & 0xFFF) << 52)).alias("place"), F.lit(_signed(mask & ~(1 << k))).alias("mask")))
+                n += 1
+    each = fps.select("fp", F.explode(F.array(*places)).alias("x"))
+    return each.select(F.col("x.place").bitwiseOR(F.shiftrightunsigned(F.xxhash64(F.col("fp").bitwiseAND(F.col("x.mask"))), 12)).alias("key"), "fp")
+
+
+def _first_common(x: np.ndarray, masks: list[int]) -> np.ndarray:
+    """Number of the first segment and wildcard that two fingerprints with these differing bits have in
+    common; -1 if none.  Wildcards count from a segment's lowest bit, segments one after another."""
     out = np.full(len(x), -1, np.int64)
-    for first, width in reversed(SEGMENTS):
-        d = (x >> np.uint64(first)) & np.uint64((1 << width) - 1)
-        n = np.bitwise_count(d)
-        bit = np.bitwise_count(d - (d > 0)) * (n == 1)  # of a single bit: how many lie below it
-        out = np.where(n <= 1, first + bit, out)
+    before = sum(m.bit_count() for m in masks)
+    for mask in reversed(masks):
+        before -= mask.bit_count()
+        d = x & np.uint64(mask)
+        low = d - (d > 0)  # of a single bit: all below it
+        bit = np.where(d > 0, np.bitwise_count(low & np.uint64(mask)), 0).astype(np.int64)
+        out = np.where(np.bitwise_count(d) <= 1, before + bit, out)
     return out
 
 
-def _pairs(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _pairs(key: np.ndarray, fp: np.ndarray, masks: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Verified pairs of fingerprints that stand under equal (neighbouring) keys."""
     a, b, at, k = [], [], np.arange(len(key)), 1
+    place = (key.view(np.uint64) >> np.uint64(52)).astype(np.int64)
     while len(at):
         at = at[at + k < len(key)]
         at = at[key[at] == key[at + k]]
         x = fp[at] ^ fp[at + k]
-        good = at[(np.bitwise_count(x) <= MOST) & (_first_common(x) == key[at] >> 22)]
+        near = np.flatnonzero(np.bitwise_count(x) <= MOST)
+        good = at[near[_first_common(x[near], masks) == place[at[near]]]]
         a.append(fp[good])
         b.append(fp[good + k])
         k += 1
     return np.concatenate(a or [fp[:0]]), np.concatenate(b or [fp[:0]])
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _linked(batches: Iterator[pa.RecordBatch], masks: list[int]) -> Iterator[pa.RecordBatch]:
     """From rows in order of key: pairs (a, b), and (a, null) for each fingerprint of a crowded key."""
 
     def rows(a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
@@ -139,11 +172,11 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, fp, crowded = np.zeros(0, np.int64), np.zeros(0, np.uint64), None
 
     def settled(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-        cut = np.flatnonzero(np.diff(key, prepend=-1))
+        cut = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
         crowd = np.repeat(np.diff(np.append(cut, len(key))) > CROWD, np.diff(np.append(cut, len(key))))
         if crowd.any():
             yield rows(np.unique(fp[crowd]), None)
-        yield rows(*_pairs(key[~crowd], fp[~crowd]))
+        yield rows(*_pairs(key[~crowd], fp[~crowd], masks))
 
     for batch in batches:
         k, f = (c.to_numpy() for c in batch.columns)
@@ -192,21 +225,23 @@ def _met(crowd: DataFrame) -> DataFrame:
 def links(fps: DataFrame) -> DataFrame:
     """Edges a, b between distinct fingerprints whose components are those of all links."""
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    index = variants(fps.select("fp").distinct()).repartition(n, "key").sortWithinPartitions("key")
-    found = scratch.written(index.mapInArrow(_linked, "a long, b long"), "simhash-links")
+    fps = scratch.written(fps.select("fp").distinct(), "simhash-distinct")
+    masks = chosen_cut(fps.count())
+    index = variants(fps, masks).repartition(n, "key").sortWithinPartitions("key")
+    found = scratch.written(index.mapInArrow(lambda batches: _linked(batches, masks), "a long, b long"), "simhash-links")
     crowd = scratch.written(found.filter(F.col("b").isNull()).select(F.col("a").alias("fp")).distinct(), "simhash-crowd")
     pairs = found.filter(F.col("b").isNotNull())
     return pairs if crowd.isEmpty() else pairs.unionByName(_met(crowd))
 
 
-def near_duplicates(docs: DataFrame, jaccard: float | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, jaccard: float | None = None, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp, root (the component's smallest fingerprint), component_id of every row.  With
     ``jaccard``, texts whose sets of ``resemblance.SHINGLE``-word shingles have that Jaccard resemblance or
     more are linked too, however many bits their fingerprints differ in."""
-    fps = scratch.written(fingerprints(docs), "simhash-fingerprints")
+    fps = scratch.written(fingerprints(docs, shingle), "simhash-fingerprints")
     roots = scratch.written(components(links(fps)), "simhash-roots")
     if jaccard is not None:
-        texts = _with_fingerprint(docs.select(F.col("text").cast("string").alias("text")), "node")
+        texts = _with_fingerprint(docs.select(F.col("text").cast("string").alias("text")), "node", shingle)
         each = texts.select(F.xxhash64("text").alias("text"), "node").distinct().join(roots, "node", "left")
         each = scratch.written(each.select("text", F.coalesce("root", "node").alias("root")), "simhash-texts")
         more = scratch.written(resemblance.links(docs, each, _hashes, jaccard), "simhash-resemblance")
@@ -225,12 +260,12 @@ def near_duplicates(docs: DataFrame, jaccard: float | None = None) -> DataFrame:
     return fps.join(common, "fp").unionByName(rare).select("doc_id", "fp", "root", "component_id")
 
 
-def deduplicated(docs: DataFrame, jaccard: float | None = None) -> DataFrame:
+def deduplicated(docs: DataFrame, jaccard: float | None = None, shingle: int = SHINGLE) -> DataFrame:
     """``docs`` with one row of each group of near copies (see ``near_duplicates``): that with the
     smallest doc_id.  Where several rows share that id, or none of the group has one, the row with the
     smallest hash of its values."""
     cols = docs.columns
-    found = scratch.written(near_duplicates(docs, jaccard), "simhash-groups")
+    found = scratch.written(near_duplicates(docs, jaccard, shingle), "simhash-groups")
     several = scratch.written(found.groupBy("doc_id").count().filter((F.col("count") > 1) | F.col("doc_id").isNull()).select("doc_id"), "simhash-several")
     first = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").join(several, "doc_id", "left_anti")
     once = docs.join(first, "doc_id", "left_semi").select(*cols)
@@ -240,18 +275,18 @@ def deduplicated(docs: DataFrame, jaccard: float | None = None) -> DataFrame:
     fp, root, place, own, mark = scratch.fresh(docs, "_fp", "_root", "_place", "_id", "_print")
     odd = docs.join(several.select(F.col("doc_id").alias(own)), docs["doc_id"].eqNullSafe(F.col(own)), "left_semi").select(*cols)
     groups = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(own), F.col("fp").alias(mark), F.col("root").alias(root)).distinct()
-    mine = _with_fingerprint(odd, fp).join(groups, F.col("doc_id").eqNullSafe(F.col(own)) & (F.col(fp) == F.col(mark))).select(*cols, root)
+    mine = _with_fingerprint(odd, fp, shingle).join(groups, F.col("doc_id").eqNullSafe(F.col(own)) & (F.col(fp) == F.col(mark))).select(*cols, root)
     order = Window.partitionBy(root).orderBy(F.xxhash64(*cols), "text")
     return once.unionByName(mine.withColumn(place, F.row_number().over(order)).filter(F.col(place) == 1).select(*cols))
 
 
-def _with_fingerprint(docs: DataFrame, name: str) -> DataFrame:
+def _with_fingerprint(docs: DataFrame, name: str, shingle: int) -> DataFrame:
     """``docs`` with their fingerprints in column ``name``."""
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hs = [_hashes(t or "") for t in batch.column(at).to_pylist()]
+            hs = [_hashes(t or "", shingle) for t in batch.column(at).to_pylist()]
             fp = _majority(np.array([x for h, _ in hs for x in h], np.uint64), np.array([n for _, n in hs], np.int64))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64))], [*batch.schema.names, name])
 

@@ -272,13 +272,27 @@ def test_near_copies_far_apart_in_bits_fall_together(spark):
     assert simhash.near_duplicates(df.limit(0), 0.8).count() == 0
 
 
-def test_each_pair_is_found_under_one_key():
-    r = random.Random(1)
-    for _ in range(300):
-        x = 0
-        for b in r.sample(range(64), r.randint(1, 4)):
-            x |= 1 << b
-        assert simhash._first_common(np.array([x], np.uint64))[0] >= 0
+@pytest.mark.parametrize("cut", simhash.CUTS)
+def test_each_pair_is_found_under_one_key(cut):
+    """Pairs within four bits share a key in every cut, and the first one is what ``_first_common`` says."""
+    r, masks = random.Random(1), simhash.segments(*cut)
+    places = [(m, k) for m in masks for k in range(64) if m >> k & 1]
+    assert len(places) < 1 << 12
+    for _ in range(400):
+        x = sum(1 << b for b in r.sample(range(64), r.randint(0, 6)))
+        shared = [i for i, (m, k) in enumerate(places) if not x & m & ~(1 << k)]
+        assert simhash._first_common(np.array([x], np.uint64), masks)[0] == (shared[0] if shared else -1)
+        assert shared or x.bit_count() > 4
+
+
+def test_the_cut_follows_from_the_count():
+    assert [len(simhash.chosen_cut(n)) for n in (0, 10**6, 10**7, 10**8, 10**13)] == [3, 3, 10, 20, 35]
+
+
+@pytest.mark.parametrize("chance", [1e-3, 1e-6, 0])
+def test_every_cut_loses_nothing(spark, monkeypatch, chance):
+    monkeypatch.setattr(simhash, "CHANCE", chance)
+    test_links_lose_nothing(spark, monkeypatch, 512)
 
 
 def test_components(spark):
