@@ -169,9 +169,10 @@ def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """``ENCODED`` of every row: a hash of its text, a number that no other row has, how many ids it has and
-    its ids, of two bytes each where they fit."""
+    its ids, of two bytes each where they fit, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1, write_checksum=False, write_content_size=True).compress
         place = TaskContext.get().partitionId() << 40
         for batch in batches:
             for first, ids, count in tokens.encode_blocks(batch.column(2), tokenizer):
@@ -179,7 +180,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 wide = bool(len(ids)) and int(ids.max()) >= 1 << 16
                 raw = ids.astype("<u4" if wide else "<u2").tobytes()
                 end = np.cumsum(count) * (4 if wide else 2)
-                packed = [raw[a:b] for a, b in zip([0, *end.tolist()], end.tolist())]
+                packed = [squeeze(raw[a:b]) for a, b in zip([0, *end.tolist()], end.tolist())]
                 own = [batch.column(k).slice(first, len(count)) for k in (0, 1)]
                 places = pa.array(np.arange(place, place + len(count)))
                 place += len(count)
@@ -206,6 +207,7 @@ def write_tokens(
         context = TaskContext.get()
         part, attempt = context.partitionId(), context.taskAttemptId()
         name, draft = f"{root}/{part:06d}.bitplane", f"{root}/_{part:06d}-{attempt}"
+        unzip = zstandard.ZstdDecompressor().decompress
         out = None
         for batch in batches:
             if not batch.num_rows:
@@ -215,7 +217,8 @@ def write_tokens(
                 sink = fs.open_output_stream(draft)
                 out = Writer(sink, kind, chunk)
             doc_ids, count = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-            for k, (n, raw) in enumerate(zip(count.tolist(), batch.column(2).to_pylist())):
+            for k, (n, packed) in enumerate(zip(count.tolist(), batch.column(2).to_pylist())):
+                raw = unzip(packed)
                 out.add(doc_ids[k : k + 1], np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype(np.uint32), count[k : k + 1])
         if out is not None:
             out.close()
