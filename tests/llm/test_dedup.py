@@ -172,11 +172,11 @@ def test_words_whose_rolling_hashes_agree_are_told_apart(spark, n):
 # SimHash
 
 
-def fingerprint(t):
+def fingerprint(t, shingle=4):
     w = WORD.findall(lower(t))
     if not w:
         return 0
-    h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 4]).encode(), seed=42) for i in range(max(1, len(w) - 3))]
+    h = [xxhash.xxh64_intdigest(" ".join(w[i : i + shingle]).encode(), seed=42) for i in range(max(1, len(w) - shingle + 1))]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
@@ -239,6 +239,28 @@ def test_links_lose_nothing(spark, monkeypatch, crowd):
     assert root == want
 
 
+def shingles(t):
+    w = WORD.findall(lower(t))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def resembling(texts, shingle):
+    """Group of each text, its smallest place: four bits or fewer, or 5-word shingles of Jaccard 0.8 or more; by
+    brute force.  And how many pairs only the second finds."""
+    sets, fps = [shingles(t or "") for t in texts], [fingerprint(t or "", shingle) for t in texts]
+    root, far = [*range(len(texts))], 0
+    for i in range(len(texts)):
+        for k in range(i):
+            near = (fps[i] ^ fps[k]).bit_count() <= 4
+            both = 0 if near and root[i] == root[k] else len(sets[i] & sets[k])
+            like = both > 0 and both >= 0.8 * len(sets[i] | sets[k])
+            far += like and not near
+            if near or like:
+                x, y = root[i], root[k]
+                root = [min(x, y) if v in (x, y) else v for v in root] if x != y else root
+    return root, far
+
+
 def test_near_copies_far_apart_in_bits_fall_together(spark):
     """Groups by 5-word shingles of Jaccard 0.8 or more, and four bits, by brute force."""
     r = random.Random(5)
@@ -250,20 +272,7 @@ def test_near_copies_far_apart_in_bits_fall_together(spark):
             texts.append(" ".join(["new", *ws[n:-n], "end"]) if n > 1 else " ".join(w if i != len(ws) // 2 else "new" for i, w in enumerate(ws)))
     texts += [" ".join(f"c{k}" for k in range(100)) + f" own{i}" for i in range(60)] + ["", None, "one two", "ONE  two"]
 
-    def shingles(t):
-        w = (t or "").lower().split()
-        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-
-    sets, fps = [shingles(t) for t in texts], [fingerprint(t or "") for t in texts]
-    root, far = list(range(len(texts))), 0
-    for i in range(len(texts)):
-        for k in range(i):
-            near, both = (fps[i] ^ fps[k]).bit_count() <= 4, len(sets[i] & sets[k])
-            like = both > 0 and both >= 0.8 * len(sets[i] | sets[k])
-            far += like and not near
-            if near or like:
-                x, y = root[i], root[k]
-                root = [min(x, y) if v in (x, y) else v for v in root]
+    root, far = resembling(texts, 4)
     assert far > 10
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(3)
     got = {x.doc_id: x.component_id for x in simhash.near_duplicates(df, 0.8).collect()}
