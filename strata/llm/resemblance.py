@@ -74,7 +74,7 @@ def _pairs(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     return run
 
 
-def links(docs: DataFrame, roots: DataFrame, hashes: Callable[[str, int], tuple[list[int], int]], least: float) -> DataFrame:
+def links(docs: DataFrame, roots: DataFrame, hashes: Callable[[str, int], np.ndarray], least: float) -> DataFrame:
     """Edges a, b between the groups of texts of which two resemble each other by ``least`` or more.
     ``roots`` has the hash (text) of every text and its group (root) so far; ``hashes`` gives a text's shingles."""
     spark = docs.sparkSession
@@ -82,13 +82,16 @@ def links(docs: DataFrame, roots: DataFrame, hashes: Callable[[str, int], tuple[
     texts = docs.select(F.col("text").cast("string").alias("words")).select(F.xxhash64("words").alias("text"), "words").filter("words IS NOT NULL")
 
     def shingles(t: str) -> np.ndarray:
-        return np.unique(np.array(hashes(t, SHINGLE)[0], np.uint64))
+        return np.unique(hashes(t, SHINGLE))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t) for t in batch.column(1).to_pylist()]
-            keys = [_keys(s) if len(s) else np.zeros(0, np.int64) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["text", "n", "keys"])
+            sizes, keys = [], []
+            for t in batch.column(1):
+                s = shingles(t.as_py())
+                sizes.append(len(s))
+                keys.append(_keys(s) if len(s) else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["text", "n", "keys"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -45,57 +45,65 @@ BATCH = 1 << 17
 COMMON = 1000
 
 
-def _hashes(text: str, shingle: int = SHINGLE) -> tuple[list[int], int]:
+def _hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
     """XXH64 of a text's shingles, repeats included."""
     words = text.encode().lower().split()
     if not words:
-        return [], 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
-    if len(words) <= shingle:
-        return [xxhash.xxh64_intdigest(joined, SEED)], 1
-    ends, at = [], -1
-    for w in words:
-        at += len(w) + 1
-        ends.append(at)
-    starts = [0, *(e + 1 for e in ends[: len(words) - shingle])]
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    words.clear()
+    n = max(len(ends) - shingle + 1, 1)
+    starts, ends = np.append(0, ends[: n - 1] + 1), ends[-n:]
+    out = np.empty(n, np.uint64)
     digest = xxhash.xxh64_intdigest
-    return [digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :])], len(starts)
-
-
-def _majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """For consecutive groups of hashes, the bits set in over half of each group."""
-    out = np.zeros(len(counts), np.uint64)
-    full = np.flatnonzero(counts)
-    if len(full):
-        begin = (np.cumsum(counts) - counts)[full]
-        bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        total = np.add.reduceat(bits, begin, axis=0, dtype=np.int32)
-        out[full] = np.packbits(2 * total > counts[full, None], axis=1, bitorder="little").view("<u8")[:, 0]
+    for k in range(0, n, BATCH):
+        out[k : k + BATCH] = [digest(joined[a:b], SEED) for a, b in zip(starts[k : k + BATCH].tolist(), ends[k : k + BATCH].tolist())]
     return out
 
 
+def _set_bits(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+
+
+def _majority(groups: list[np.ndarray]) -> np.ndarray:
+    """For each group of hashes, the bits set in over half of them.  A large group is counted in parts."""
+    counts = np.array([len(g) for g in groups], np.int64)
+    total = np.zeros((len(groups), 64), np.int64)
+    large = np.flatnonzero(counts > BATCH)
+    for i in large.tolist():
+        for k in range(0, len(groups[i]), BATCH):
+            total[i] += _set_bits(groups[i][k : k + BATCH]).sum(0, dtype=np.int64)
+    some = np.flatnonzero((counts > 0) & (counts <= BATCH))
+    if len(some):
+        begin = np.cumsum(counts[some]) - counts[some]
+        total[some] = np.add.reduceat(_set_bits(np.concatenate([groups[i] for i in some.tolist()])), begin, axis=0, dtype=np.int32)
+    return np.packbits(2 * total > counts[:, None], axis=1, bitorder="little").view("<u8")[:, 0] if len(groups) else np.zeros(0, np.uint64)
+
+
+def _prints(texts: pa.Array, shingle: int) -> pa.Array:
+    """The fingerprints of a column (as signed longs), a bounded number of shingles at a time."""
+    out, held, n = [], [], 0
+    for t in texts:
+        held.append(_hashes(t.as_py() or "", shingle))
+        n += len(held[-1])
+        if n > BATCH:
+            out.append(_majority(held))
+            held, n = [], 0
+    out.append(_majority(held))
+    return pa.array(np.concatenate(out).view(np.int64))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a signed long) of every row."""
+    """doc_id, text (its hash; null for null), fp (the fingerprint's bits as a signed long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, held, counts = [], [], []
-
-            def flush() -> None:
-                out.append(_majority(np.array(held, np.uint64), np.array(counts, np.int64)))
-                held.clear()
-                counts.clear()
-
-            for t in batch.column(1):
-                h, n = _hashes(t.as_py() or "", shingle)
-                held += h
-                counts.append(n)
-                if len(held) > BATCH:
-                    flush()
-            flush()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], _prints(batch.column(2), shingle)], ["doc_id", "text", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(text.isNotNull(), F.xxhash64(text)).alias("text"), text.alias("words"))
+    return rows.mapInArrow(run, "doc_id long, text long, fp long")
 
 
 def segments(parts: int, used: int) -> list[int]:
@@ -241,8 +249,8 @@ def near_duplicates(docs: DataFrame, jaccard: float | None = None, shingle: int
     fps = scratch.written(fingerprints(docs, shingle), "simhash-fingerprints")
     roots = scratch.written(components(links(fps)), "simhash-roots")
     if jaccard is not None:
-        texts = _with_fingerprint(docs.select(F.col("text").cast("string").alias("text")), "node", shingle)
-        each = texts.select(F.xxhash64("text").alias("text"), "node").distinct().join(roots, "node", "left")
+        texts = fps.filter("text IS NOT NULL").select("text", F.col("fp").alias("node")).distinct()
+        each = texts.join(roots, "node", "left")
         each = scratch.written(each.select("text", F.coalesce("root", "node").alias("root")), "simhash-texts")
         more = scratch.written(resemblance.links(docs, each, _hashes, jaccard), "simhash-resemblance")
         roots = scratch.written(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "simhash-roots")
@@ -286,9 +294,7 @@ def _with_fingerprint(docs: DataFrame, name: str, shingle: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hs = [_hashes(t or "", shingle) for t in batch.column(at).to_pylist()]
-            fp = _majority(np.array([x for h, _ in hs for x in h], np.uint64), np.array([n for _, n in hs], np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64))], [*batch.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _prints(batch.column(at), shingle)], [*batch.schema.names, name])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(run, f"{schema}, `{name}` long")
