@@ -13,7 +13,8 @@ Their fingerprints are linked exactly in another way: two fingerprints are withi
 bits if and only if some value is within two bits of both, so each is sent to the 2081
 values within two bits of it, and those that meet at a value are linked in a star.  At
 most 2081 fingerprints can meet there.  That costs a fixed number of rows for each
-fingerprint, however many are alike.
+fingerprint, however many are alike.  Keys that hold more than a thousandth of all index rows as well
+are found by counts first, and their rows are never shuffled by key.
 
 Copies have one fingerprint and enter only once.  Null text has no words and fingerprint
 zero, as has empty text; null doc_ids are never the smallest (a component with no other has
@@ -42,7 +43,7 @@ CUTS = ((3, 1), (5, 2), (6, 3), (7, 4))
 CHANCE = 128  # fingerprints that may meet one under its keys by chance, on average
 CROWD = 512
 BATCH = 1 << 17
-COMMON = 1000
+BUCKETS = 1 << 16  # of keys, counted to find those that may be hot
 
 
 def _hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
@@ -230,14 +231,29 @@ def _met(crowd: DataFrame) -> DataFrame:
     return stars.filter(F.size("all") > 1).select("a", F.explode("all").alias("b")).filter(F.col("a") != F.col("b")).distinct()
 
 
+def _hot_keys(index: DataFrame, total: int) -> DataFrame:
+    """key: those of more rows than ``CROWD`` and than a thousandth of all, so fewer than a thousand.  Buckets
+    of keys are counted first; only the keys of buckets above the limit, which no hot key can be outside of, are
+    counted one by one."""
+    least = max(CROWD, total // scratch.COMMON)
+    placed = index.withColumn("bucket", F.col("key").bitwiseAND(BUCKETS - 1))
+    large = placed.groupBy("bucket").count().filter(F.col("count") > least).select("bucket")
+    keys = placed.join(F.broadcast(large), "bucket", "left_semi").groupBy("key").count()
+    return scratch.written(keys.filter(F.col("count") > least).select("key"), "simhash-hot")
+
+
 def links(fps: DataFrame) -> DataFrame:
     """Edges a, b between distinct fingerprints whose components are those of all links."""
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     fps = scratch.written(fps.select("fp").distinct(), "simhash-distinct")
-    masks = chosen_cut(fps.count())
-    index = variants(fps, masks).repartition(n, "key").sortWithinPartitions("key")
-    found = scratch.written(index.mapInArrow(lambda batches: _linked(batches, masks), "a long, b long"), "simhash-links")
-    crowd = scratch.written(found.filter(F.col("b").isNull()).select(F.col("a").alias("fp")).distinct(), "simhash-crowd")
+    count = fps.count()
+    masks = chosen_cut(count)
+    index = variants(fps, masks)
+    hot = F.broadcast(_hot_keys(index, count * sum(m.bit_count() for m in masks)))
+    rest = index.join(hot, "key", "left_anti").repartition(n, "key").sortWithinPartitions("key")
+    found = scratch.written(rest.mapInArrow(lambda batches: _linked(batches, masks), "a long, b long"), "simhash-links")
+    crowd = found.filter(F.col("b").isNull()).select(F.col("a").alias("fp")).unionByName(index.join(hot, "key", "left_semi").select("fp"))
+    crowd = scratch.written(crowd.distinct(), "simhash-crowd")
     pairs = found.filter(F.col("b").isNotNull())
     return pairs if crowd.isEmpty() else pairs.unionByName(_met(crowd))
 
@@ -254,18 +270,14 @@ def near_duplicates(docs: DataFrame, jaccard: float | None = None, shingle: int
         each = scratch.written(each.select("text", F.coalesce("root", "node").alias("root")), "simhash-texts")
         more = scratch.written(resemblance.links(docs, each, _hashes, jaccard), "simhash-resemblance")
         roots = scratch.written(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "simhash-roots")
-    least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("many"))
     linked = least.join(roots.withColumnRenamed("node", "fp"), "fp")
-    of_root = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    moved = linked.join(of_root, "root").select("fp", "root", "component_id")
+    of_root = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("many"))
+    moved = scratch.joined(linked.select("fp", "root"), of_root, "root", roots.count())
     each = least.join(moved, "fp", "left")
-    each = each.select("fp", "n", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    each = each.select("fp", "many", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
     each = scratch.written(each, "simhash-each")
-    # Fingerprints of more than one row in a thousand are fewer than a thousand: they are broadcast, so
-    # that the rows of a large group of copies stay where they are.
-    common = F.broadcast(each.filter(F.col("n") * COMMON > fps.count()).drop("n"))
-    rare = fps.join(common.select("fp"), "fp", "left_anti").join(each.drop("n"), "fp")
-    return fps.join(common, "fp").unionByName(rare).select("doc_id", "fp", "root", "component_id")
+    return scratch.joined(fps, each, "fp", fps.count()).select("doc_id", "fp", "root", "component_id")
 
 
 def deduplicated(docs: DataFrame, jaccard: float | None = None, shingle: int = SHINGLE) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from strata.llm import components, quality, simhash, substring
+from strata.llm import components, quality, scratch, simhash, substring
 from strata.llm import text as tx
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -312,6 +312,33 @@ def test_components(spark):
     assert components.components(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("common", [1, 10, 10**9])
+def test_hot_keys_change_nothing(spark, monkeypatch, common):
+    """Components and links with none, some and all of the keys taken for hot ones."""
+    monkeypatch.setattr(scratch, "COMMON", common)
+    test_components(spark)
+    test_links_lose_nothing(spark, monkeypatch, 3)
+
+
+def test_hot_keys(spark, monkeypatch):
+    """Keys above the limit, by count; keys that share a bucket with them are not among them."""
+    monkeypatch.setattr(simhash, "CROWD", 5)
+    keys = [7] * 40 + [7 + simhash.BUCKETS] * 3 + [1] * 6 + [2] * 5 + [-7] * 9
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "key bigint, fp bigint")
+    assert sorted(r.key for r in simhash._hot_keys(df, len(keys)).collect()) == [-7, 1, 7]
+    assert [r.key for r in simhash._hot_keys(df, 10_000).collect()] == [7]
+    assert simhash._hot_keys(df.limit(0), 0).count() == 0
+
+
+def test_joined_keeps_every_row(spark, monkeypatch):
+    monkeypatch.setattr(scratch, "COMMON", 4)
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate([1] * 30 + [2] * 3 + [3, None])], "k bigint, v bigint")
+    keyed = spark.createDataFrame([(1, "a", 30), (2, "b", 3), (4, "c", 0)], "k bigint, w string, many bigint")
+    got = scratch.joined(rows, keyed, "k", 35)
+    assert got.columns == ["k", "v", "w"]
+    assert sorted((r.k, r.v, r.w) for r in got.collect()) == [(1, i, "a") for i in range(30)] + [(2, i, "b") for i in range(30, 33)]
+
+
 # Substring dedup
 
 
