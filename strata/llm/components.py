@@ -29,13 +29,13 @@ def _state(edges: DataFrame) -> tuple:
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """node, root (the smallest node of its component) for every node of ``edges`` (a, b, of any
-    ordered type).  Each round is written to the shared folder; a hub's edges are counted in partial
+    ordered type).  Each step is written to the shared folder; a hub's edges are counted in partial
     sums and meet its smallest neighbour by a broadcast of the hubs, so they are never gathered in one place."""
     edges = edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = scratch.written(edges, name)
     before = _state(edges)
     while before[0]:
-        edges = scratch.written(_small_star(_large_star(edges, before[0]), before[0]), name)
+        edges = scratch.written(_small_star(scratch.written(_large_star(edges, before[0]), name), before[0]), name)
         after = _state(edges)
         if after == before:
             break
