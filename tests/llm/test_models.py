@@ -1,3 +1,4 @@
+import os
 import random
 import zlib
 from collections import Counter
@@ -150,6 +151,26 @@ def test_the_sample_is_bounded(spark):
     assert (ann.sample(df, 100) == ann.sample(df.repartition(7), 100)).all()
 
 
+def test_no_vector_comes_to_the_driver(spark, monkeypatch):
+    """The sample meets, and codebooks are fitted, in a task: the driver's memory does not hold them."""
+    driver, fit = os.getpid(), ann.fit
+
+    def elsewhere(x):
+        assert os.getpid() != driver
+        return fit(x)
+
+    def refused(*args):
+        raise AssertionError("vectors on the driver")
+
+    monkeypatch.setattr(ann, "fit", elsewhere)
+    monkeypatch.setattr(ann, "sample", refused)
+    r = random.Random(4)
+    rows = {i: [r.gauss(0, 1) for _ in range(8)] for i in range(60)}
+    df = vectors(spark, [(i, v, 0, "x", "y") for i, v in rows.items()])
+    got = {(x.query_id, x["rank"]): x.vec_id for x in ann.search(df, F.col("vec_id") % 50 == 0).collect()}
+    assert got == {(q, k): i for q, ids in exact(rows, [0, 50], 5).items() for k, i in enumerate(ids, 1)}
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 4])
 def test_few_vectors(spark, n):
     rows = [(50 * i, [1.0 + i, 2.0, float(i)], 0, "x", "y") for i in range(n)]
