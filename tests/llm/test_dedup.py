@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from strata.llm import components, quality, scratch, simhash, substring
+from strata.llm import components, quality, resemblance, scratch, simhash, substring
 from strata.llm import text as tx
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -281,6 +281,26 @@ def test_near_copies_far_apart_in_bits_fall_together(spark):
     assert simhash.near_duplicates(df.limit(0), 0.8).count() == 0
 
 
+@pytest.mark.parametrize("block", [1 << 19, 10_000])
+def test_crowded_keys_lose_no_link(spark, monkeypatch, block):
+    """Texts that are all alike below the limit, so that their keys are crowded, in twos that are above it; by
+    brute force, in one block and in several."""
+    monkeypatch.setattr(resemblance, "BLOCK", block)
+    common = [f"c{k}" for k in range(404)]
+    texts = []
+    for k in range(120):
+        texts += [" ".join([*common, f"two{k}", f"own{k}", *(f"own{k}-{side}-{i}" for i in range(49))]) for side in (0, 1)]
+    texts += [texts[0]] * 5
+    sets = [shingles(t) for t in texts]
+    near = {frozenset((i, k)) for i in range(240) for k in range(i) if len(sets[i] & sets[k]) >= 0.8 * len(sets[i] | sets[k])}
+    assert near == {frozenset((2 * k, 2 * k + 1)) for k in range(120)}
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    roots = df.select(F.xxhash64("text").alias("text"), F.xxhash64("text").alias("root")).distinct()
+    place = {r.h: texts.index(r.text) for r in df.select(F.xxhash64("text").alias("h"), "text").collect()}
+    got = [frozenset((place[r.a], place[r.b])) for r in resemblance.links(df, roots, simhash._hashes, 0.8).collect()]
+    assert set(got) == near
+
+
 @pytest.mark.parametrize("cut", simhash.CUTS)
 def test_each_pair_is_found_under_one_key(cut):
     """Pairs within four bits share a key in every cut, and the first one is what ``_first_common`` says."""
