@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +12,7 @@ from ..operators import bloom, ranges, resolve
 from ..options import Options
 from ..sources import manifest, wal
 from ..sources.shared import new_path
-from ..store import PUSHED_KEYS, Store
+from ..store import Store
 from ..streaming import ingest
 from . import planner
 from .fixtures import SQL, changes, kv_customers, kv_events, kv_orders, kv_parts, level_tables, order_tables, sst_events
@@ -482,14 +481,11 @@ def concurrent_compaction(spark, d):
 
 @query("SELECT a.key, l.val FROM (" + ASKED + ") a JOIN latest_events l USING (key) WHERE l.val <> ''", *EVENTS)
 def get_pruned(spark, d):
-    """Look-ups, a bounded number of keys at a time, that read only the files and row groups which may have
-    one of them."""
+    """A look-up of a whole table's keys that reads only the files which may have one of them."""
     s = _store(spark)
     s.put(kv_events(spark, d).withColumnRenamed("seq", "ord"))
     s.flush()
-    keys = [r.key for r in _asked(spark, d).collect()]
-    found = [s.get(keys[k : k + PUSHED_KEYS]) for k in range(0, len(keys), PUSHED_KEYS)]
-    return reduce(DataFrame.unionByName, found).select("key", "val")
+    return s.get(_asked(spark, d)).select("key", "val")
 
 
 @query("SELECT CAST(greatest(1, n) AS BIGINT) AS version, n AS files FROM (SELECT count(*) AS n FROM range(0, 40))")

@@ -23,14 +23,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from .functions.codec import record_size
-from .operators import resolve
+from .operators import ranges, resolve
 from .options import Options
 from .plans import planner
 from .sources.manifest import LOG, File, Manifest, Snapshot, Storage
 
 ENTRY = "key string, val string, seq bigint"
 #: Keys asked for at once up to which they are part of the scan's filter, so that files, row groups and
-#: Parquet's Bloom filters are asked for each; beyond, files are pruned by the keys' hull alone.
+#: Parquet's Bloom filters are asked for each; beyond, files are asked for each and row groups for the keys' hull.
 PUSHED_KEYS = 1000
 #: Values of one IN that Spark pushes to Parquet value by value (the default of its threshold).
 IN_VALUES = 10
@@ -123,8 +123,9 @@ class Store:
         return self._read([f for f in snapshot.files if f.overlaps(low, high)])
 
     def get(self, keys: DataFrame | list[str], *, raw: bool = False) -> DataFrame:
-        """key, val, seq of the newest versions.  Up to ``PUSHED_KEYS`` keys, only files whose range holds one
-        of them are read, and the scan is filtered by the keys themselves; more keys prune by their hull."""
+        """key, val, seq of the newest versions.  Only files whose range holds one of the keys are read.  Up to
+        ``PUSHED_KEYS`` keys, the scan is filtered by the keys themselves; more, however many, are joined with what
+        the scan finds between the smallest and the largest of them."""
         if isinstance(keys, list):
             keys = self.spark.createDataFrame([(k,) for k in keys], "key string")
         few = [r.key for r in keys.select("key").dropna().distinct().limit(PUSHED_KEYS + 1).collect()]
@@ -135,8 +136,16 @@ class Store:
             held = [f for f in self.now.files if (i := bisect_left(few, f.min_key)) < len(few) and few[i] <= f.max_key]
             found = resolve.latest(self._read(held).filter(_one_of(few)))
             return found if raw else found.filter(F.col("val") != resolve.TOMBSTONE)
-        hull = keys.agg(F.min("key"), F.max("key")).first()
-        return resolve.get(self.entries(*hull), keys, raw=raw)
+        low, high = keys.agg(F.min("key"), F.max("key")).first()
+        return resolve.get(self._read(self._holding(keys, low, high)).filter(F.col("key").between(low, high)), keys, raw=raw)
+
+    def _holding(self, keys: DataFrame, low: str, high: str) -> list[File]:
+        """The files whose range holds one of ``keys``, which lie between ``low`` and ``high``.  The keys stay on
+        the executors."""
+        files = {f.fid: f for f in self.now.files if f.overlaps(low, high)}
+        stats = self.spark.createDataFrame([(f.fid, f.min_key, f.max_key) for f in files.values()], "fid bigint, min_key string, max_key string")
+        met = ranges.meeting(stats, keys.select("key"), "min_key", "max_key", "key", "key", "left_semi")
+        return [files[r.fid] for r in met.select("fid").collect()]  # a row a file
 
     def scan(self, low: str | None = None, high: str | None = None, *, version: int | None = None) -> DataFrame:
         return resolve.scan(self.entries(low, high, version=version), low, high)

@@ -321,6 +321,33 @@ def test_a_lookup_reads_only_files_and_groups_that_may_have_the_key(spark, tmp_p
     assert s.get([]).count() == 0 == s.get(["zz"]).count()
 
 
+def test_a_lookup_of_many_keys_reads_only_files_that_may_have_one(spark, tmp_path):
+    s = Store.open(spark, str(tmp_path / "s"), Options(sstable_size=20_000))
+    s.put(spark.range(8000).select(F.format_string("k%06d", "id").alias("key"), F.format_string("v%d", "id").alias("val")))
+    s.flush()
+    asked = [*range(900), *range(7100, 8000)]  # from one end to the other, and none between
+    keys = spark.createDataFrame([(f"k{k:06d}",) for k in asked] + [("k000000",), (None,), ("zz",)], "key string")
+    found = s.get(keys)
+    assert dump(found) == {f"k{k:06d}": f"v{k}" for k in asked} and found.count() == len(asked)
+    held = {f.path.rpartition("/")[2] for f in s.now.files if f.min_key <= "k000899" or f.max_key >= "k007100"}
+    assert {f.rpartition("/")[2] for f in found.inputFiles()} == held and 2 <= len(held) < len(s.now.files)
+    s.delete(keys.filter("key < 'k000100'"))
+    assert {*dump(s.get(keys))} == {f"k{k:06d}" for k in asked if k >= 100}
+    none = spark.range(2000).select(F.format_string("z%06d", "id").alias("key"))
+    assert s.get(none).count() == 0
+
+
+def test_a_table_of_keys_is_looked_up_at_once(spark, tmp_path, monkeypatch):
+    from strata.plans import catalogue
+
+    spark.range(5000).select(F.col("id").alias("c_custkey")).write.parquet(str(tmp_path / "customer.parquet"))
+    spark.range(9000).selectExpr("id AS event_id", "id % 4500 AS user_id", "if(id % 7 = 0, 'error', 'view') AS event_type", "concat('p', id) AS props").write.parquet(str(tmp_path / "events.parquet"))
+    calls, get = [], Store.get
+    monkeypatch.setattr(Store, "get", lambda *a, **k: calls.append(1) or get(*a, **k))
+    found = dump(catalogue.get_pruned(spark, str(tmp_path)))
+    assert found == {str(k): f"p{k + 4500}" for k in range(4500) if (k + 4500) % 7} and len(calls) == 1
+
+
 def test_ords_of_any_type(spark, tmp_path):
     s = Store.open(spark, str(tmp_path / "s"))
     rows = [("a", "old", 5), ("a", "new", 900), ("b", "x", None), ("b", "y", 7)]
