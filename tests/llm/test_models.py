@@ -171,6 +171,34 @@ def test_no_vector_comes_to_the_driver(spark, monkeypatch):
     assert got == {(q, k): i for q, ids in exact(rows, [0, 50], 5).items() for k, i in enumerate(ids, 1)}
 
 
+def test_blocks_and_rows_do_not_grow_with_the_partitions(spark):
+    """At 6 GB there are 600 partitions: a query must not meet, and be sent to, a small block of each."""
+    r = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in v], 0, "x", "y") for i, v in enumerate(r.normal(size=(900, 8)))]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "100")
+    try:
+        used = ann.usable(vectors(spark, rows))
+        assert dict(used.dtypes)["v"] == "array<float>"
+        blocks = ann.index(used, r.normal(size=(2, 4, 8)).astype(np.float32)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(blocks) <= ann.SPREAD
+    assert sorted(i for b in blocks for i in np.frombuffer(b.ids, "<i8")) == sorted(x.row for x in used.collect())
+
+
+def test_look_ups_and_a_least_score():
+    r = np.random.default_rng(6)
+    books, codes, q = r.normal(size=(3, 5, 7)).astype(np.float32), r.integers(0, 5, (3, 50)).astype(np.uint8), r.normal(size=(4, 7)).astype(np.float32)
+    got = ann.looked_up(books, codes, q, 16)
+    assert np.abs(got - q @ books[np.arange(3)[:, None], codes].sum(0).T).max() < 1e-5
+    least = np.sort(got, 1)[:, -4]
+    every = [[c for c in a if got[k, c] >= least[k]] for k, a in enumerate(ann.best(got, 9))]
+    assert [a.tolist() for a in ann.best(got, 9, least)] == every
+    least[2] = -np.inf
+    assert ann.best(got, 9, least)[2].tolist() == ann.best(got, 9)[2].tolist() and ann.best(got, 9, least)[0].tolist() == every[0]
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 4])
 def test_few_vectors(spark, n):
     rows = [(50 * i, [1.0 + i, 2.0, float(i)], 0, "x", "y") for i in range(n)]
